@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, pieces, sharding
+from . import exact_dedup, language, minhash, pieces, sharding
 from .shared import documents
 
 
+def op2_minhash(spark, sf_dir):
+    """Near-duplicate documents on 4-word shingles at a similarity of 0.8 or more."""
+    return minhash.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
 def op3_sharding(spark, sf_dir):
     """Jump consistent hashing of all documents into 24 shards."""
     return sharding.shard(documents(spark, sf_dir), 24)
@@ -28,5 +33,5 @@ def op10_language_id(spark, sf_dir):
     return language.identify(documents(spark, sf_dir), declared="lang", host="source", label="lang")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_sentencepiece, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_sharding, op4_sentencepiece, op9_exact_dedup, op10_language_id)}
 ORACLE_SQL = {"op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
