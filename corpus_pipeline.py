@@ -9,18 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import exact_dedup, language, pieces
+from corvane.llm import decontaminate, exact_dedup, language, minhash, pieces
 from corvane.llm.shared import Scratch
 
 
-def _value(docs: DataFrame, name: str) -> str | None:
-    return name if name in docs.columns else None
+def _guarded(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The documents with names that no result column has, and those of all but the id."""
+    docs = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+    return docs, tuple(c for c in docs.columns if c != "in_doc_id")
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[found[f"in_{c}"].alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (10): documents without a confident language go."""
-    found = language.identify(docs, declared=_value(docs, "lang"), host=_value(docs, "source"), label="lang", keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.filter("kept").select(*docs.columns)
+    rows, rest = _guarded(docs)
+    value = lambda c: f"in_{c}" if c in docs.columns else None
+    found = language.identify(rows, "in_doc_id", "in_text", declared=value("lang"), host=value("source"), label=value("lang"), keep=rest)
+    return _restored(found.filter("kept"), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +39,23 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(kept, same, "left_semi").select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (2): of each group of near copies on five words the smallest doc_id stays."""
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (7): benchmark passages are cut out; a document without a word left goes."""
+    rows, rest = _guarded(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_benchmark(rows, benchmark, "in_doc_id", "in_text", clean=True, keep=tuple(c for c in rest if c != "in_text"))
+    found = found.filter("n_hit = 0 OR n_hit < n_words").withColumn("in_text", F.col("cleaned"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("in_n_chars", F.when(F.col("n_hit") > 0, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("in_n_chars")))
+    return _restored(found, docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece encoding and decoding (4) of what is left."""
     import public_tokenizers
@@ -41,6 +66,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", identify_language),
     ("exact", drop_exact_copies),
+    ("near", drop_near_copies),
+    ("decontaminate", decontaminate_benchmark),
     ("encode", encode),
 ]
 
