@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, minhash, pieces, sharding
+from . import decontaminate, exact_dedup, language, minhash, pieces, pii, sharding
 from .shared import documents
 
 
@@ -28,6 +28,11 @@ def op7_decontamination(spark, sf_dir):
     return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark, sf_dir):
     """Groups of equal texts over all documents."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
@@ -38,5 +43,5 @@ def op10_language_id(spark, sf_dir):
     return language.identify(documents(spark, sf_dir), declared="lang", host="source", label="lang")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_sharding, op4_sentencepiece, op7_decontamination, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_sharding, op4_sentencepiece, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
 ORACLE_SQL = {"op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
