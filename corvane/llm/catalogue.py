@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, minhash, pieces, pii, sharding
+from . import decontaminate, exact_dedup, language, minhash, pieces, pii, sharding, url_filter
 from .shared import documents
 
 
@@ -23,6 +23,14 @@ def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op6_url_filter(spark, sf_dir):
+    """A verdict for every page's url."""
+    return url_filter.judge(documents(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_decontamination(spark, sf_dir):
     """Words of every document inside ten-word phrases of the benchmark."""
     return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
@@ -43,5 +51,5 @@ def op10_language_id(spark, sf_dir):
     return language.identify(documents(spark, sf_dir), declared="lang", host="source", label="lang")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_sharding, op4_sentencepiece, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_sharding, op4_sentencepiece, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
 ORACLE_SQL = {"op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -138,6 +138,12 @@ tel w w w
 call w at ## w
 from ## to ## w
 w @ w w
+W w . W w , at w w . W w ################ w w w
+w at w w w , w . W w w ################ . W
+w w at w w . W w w
+W . w at w ################ w w . W w
+w w , w at w w. W w.
+w ################ w. W at w w. W
 follow @w on w
 w@w w
 room ###-# w
@@ -329,7 +335,7 @@ def plausible(text: str, kind: int) -> bool:
     """Whether the digits of an added span suit its kind."""
     d = digits_of(text)
     if kind == 0:
-        return bool(re.search(r"(?i)\bat\b", text) and re.search(r"(?i)\bdot\b|\.", text))
+        return not re.search(r"[0-9]{9}|[.,;:!?]\s", text) and bool(re.search(r"(?i)\bat\b.*(\bdot\b|\.)", text))
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
