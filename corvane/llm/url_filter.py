@@ -84,7 +84,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
 
 
 def judge(
-    pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, threshold: float = 1.0, damping: float = 0.85
+    pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, threshold: float = 0.1, damping: float = 0.85
 ) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict (allow or block), trust, distrust.
 

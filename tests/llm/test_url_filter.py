@@ -55,7 +55,7 @@ def brute(rows):
     for i, h, p, _ in pages:
         r, v = ruled(h, p)
         t, d = (score["trust"][at[h]], score["distrust"][at[h]]) if h else (0, 0)
-        out[i, h, p, r, v or ("block" if d >= 1 and d > t else "allow")] += 1
+        out[i, h, p, r, v or ("block" if d >= 0.1 and d > t else "allow")] += 1
     return out
 
 
