@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, minhash, pieces, pii, sharding, url_filter
+from . import decontaminate, exact_dedup, language, minhash, pieces, pii, sharding, toxicity, url_filter
 from .shared import documents
 
 
+def op1_toxicity(spark, sf_dir):
+    """A toxicity score for every document; a third of the ids is held out of training."""
+    return toxicity.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op2_minhash(spark, sf_dir):
     """Near-duplicate documents on 4-word shingles at a similarity of 0.8 or more."""
     return minhash.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
@@ -51,5 +56,5 @@ def op10_language_id(spark, sf_dir):
     return language.identify(documents(spark, sf_dir), declared="lang", host="source", label="lang")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_sharding, op4_sentencepiece, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_sentencepiece, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
 ORACLE_SQL = {"op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
