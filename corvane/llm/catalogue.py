@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, minhash, pieces, pii, sharding, toxicity, url_filter
+from . import decontaminate, exact_dedup, language, minhash, pieces, pii, secrets, sharding, toxicity, url_filter
 from .shared import documents
 
 
@@ -28,6 +28,11 @@ def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_secret_scan(spark, sf_dir):
+    """Candidates for secrets in every document, scored by the forest; digests stand for the strings."""
+    return secrets.redacted(documents(spark, sf_dir))
+
+
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
@@ -56,5 +61,5 @@ def op10_language_id(spark, sf_dir):
     return language.identify(documents(spark, sf_dir), declared="lang", host="source", label="lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_sentencepiece, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_sentencepiece, op5_secret_scan, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
 ORACLE_SQL = {"op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
