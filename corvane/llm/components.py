@@ -1,4 +1,4 @@
-"""Connected components by minimum labels, on DataFrames."""
+"""Connected components by pointing at minima and contracting, on DataFrames."""
 
 from __future__ import annotations
 
@@ -11,22 +11,42 @@ from .shared import Scratch
 def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(v, label) for every vertex of ``links`` (a, b): the smallest vertex that it reaches.
 
-    Each round gives a vertex the least label among its own and its neighbours', then the label of that
-    label, so the rounds grow with the logarithm of a component's width. Each round is written to the
-    shared folder; minima are combined before the shuffle, so a hub costs one row in each task.
+    Each round points a vertex at the least of itself and its neighbours, follows these pointers to their ends, and
+    contracts the links to the ends they lead to; links within one end fall away, so rounds shrink fast. Each step is
+    written to the shared folder; minima are combined before the shuffle, so a hub costs one row in each task.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch.table(f"{name}-edges", both.filter("a <> b").distinct())
-    labels = scratch.table(f"{name}-0", both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
-    round_no = 0
-    while True:
-        round_no += 1
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
-        own = labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("v").alias("label"), F.col("label").alias("top"))
-        # a label is itself a vertex, so the join keeps every row
-        new = scratch.table(f"{name}-{round_no}", own.join(up, "label").select("v", "was", F.least("label", "top").alias("label")))
-        done = new.filter("label <> was").isEmpty()
-        labels = new.select("v", "label")
-        if done:
-            return labels
+    edges = scratch.table(f"{name}-edges", links.filter("a <> b").select("a", "b").distinct())
+    labels = None
+    turn = 0
+    while not edges.isEmpty():
+        turn += 1
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = scratch.table(f"{name}-{turn}-0", both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p")))
+        jump = 0
+        while True:
+            jump += 1
+            top = up.select(F.col("v").alias("p"), F.col("p").alias("top"))
+            new = scratch.table(f"{name}-{turn}-{jump}", up.join(top, "p").select("v", F.col("top").alias("p"), (F.col("top") != F.col("p")).alias("moved")))
+            up = new.select("v", "p")
+            if new.filter("moved").isEmpty():
+                break
+        ends = up.select(F.col("v").alias("label"), "p")
+        labels = up.select("v", F.col("p").alias("label")) if labels is None else labels.join(ends, "label", "left").select("v", F.coalesce("p", "label").alias("label"))
+        for end in ("a", "b"):
+            edges = edges.join(up.select(F.col("v").alias(end), F.col("p").alias(f"_{end}")), end)
+        edges = scratch.table(f"{name}-{turn}-edges", edges.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("label")) if labels is None else scratch.table(f"{name}-labels", labels)
+
+
+def extend_components(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(v, label) after further ``links``; only the components that these join are worked on again."""
+    if labels is None:
+        return connected(links, scratch, name)
+    named = links
+    for end in ("a", "b"):
+        of = labels.select(F.col("v").alias(end), F.col("label").alias(f"_{end}"))
+        named = named.join(of, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    merged = connected(named.select(F.col("_a").alias("a"), F.col("_b").alias("b")), scratch, f"{name}-merged")
+    to = merged.select(F.col("v").alias("label"), F.col("label").alias("_to"))
+    old = labels.join(to, "label", "left").select("v", F.coalesce("_to", "label").alias("label"))
+    return scratch.table(name, old.unionByName(merged.join(labels.select("v"), "v", "left_anti")))

@@ -11,9 +11,12 @@ bands with a probability of 0.000003, and one at 0.9 practically never.
 Work is kept in proportion to the input:
 
 * Documents with one set are one class; only its smallest id takes part.
-* In each bucket of a band, members meet the bucket's smallest member (a star) and then, where more than one
-  component is left in the bucket, its largest. Only buckets that still hold several components are then
-  searched pair by pair, and only for pairs of different components.
+* In each bucket of a band, members meet a hub, the member with the smallest hash (a star, with another hub in each
+  band); then, in buckets with more than one component left, the one with the largest.
+* In buckets that still hold several components, only pairs of different components are searched, and of those only
+  pairs that can reach the threshold: a document's reach is the number of its shingles that occur in another open
+  component, and bounds its intersection with any document there; counted in parts of the hash range, it bounds
+  that of a pair closely. Members of a large group with many edits and texts around a shared passage drop out by that.
 * Texts are read twice; sets are only built for classes that share a bucket.
 """
 
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from .components import extend_components
 from .shared import Scratch, extend
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -50,7 +53,7 @@ class _Words(dict):
 class Shingler:
     """Sorted distinct shingle hashes of a text: lower-cased A-Z, words between ASCII white space."""
 
-    def __init__(self, words: int, table_words: int = 500_000):
+    def __init__(self, words: int, table_words: int = 150_000):
         self.k, self.most, self.table = words, table_words, _Words()
 
     def __call__(self, text: str) -> np.ndarray:
@@ -78,13 +81,14 @@ class Sketch:
         self.weights = draw.integers(1, 2**63, (self.bands, rows), np.uint64) | np.uint64(1)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
-        """Minimum and maximum under each permutation, side by side."""
-        out = np.empty((len(self.factors), 2), np.uint64)
-        for i, (a, b) in enumerate(zip(self.factors, self.offsets, strict=True)):
-            x = shingles * a + b
-            x ^= x >> np.uint64(32)
-            out[i] = x.min(), x.max()
-        return out.ravel()
+        """Minimum and maximum under each permutation, side by side. Blocks of shingles stay in the processor's cache."""
+        low, high = np.full(len(self.factors), 2**64 - 1, np.uint64), np.zeros(len(self.factors), np.uint64)
+        for k in range(0, len(shingles), 512):
+            x = np.multiply.outer(self.factors, shingles[k : k + 512])
+            x += self.offsets[:, None]
+            np.minimum(low, x.min(1), out=low)
+            np.maximum(high, x.max(1), out=high)
+        return np.stack([low, high], 1).ravel()
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         values = _finish(self.signature(shingles))[: self.bands * self.rows].reshape(self.bands, self.rows)
@@ -101,17 +105,33 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = left.join(sets.select(F.col("c").alias("b"), F.col("set").alias("_sb")), "b")
 
     def start():
-        def linked(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        def linked(x: np.ndarray, y: np.ndarray) -> bool:
             merged = np.sort(np.concatenate([x, y]))
             common = int((merged[1:] == merged[:-1]).sum())
             return 100 * common >= percent * (len(merged) - common)
 
-        return lambda batch: [[linked(x.as_buffer(), y.as_buffer()) for x, y in zip(batch["_sa"], batch["_sb"], strict=True)]]
+        return lambda batch: [[linked(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch["_sa"], batch["_sb"], strict=True)]]
 
     return extend(both, "_linked boolean", start, drop=("_sa", "_sb")).filter("_linked").select("a", "b")
 
 
+def _reach(pool: DataFrame, sets: DataFrame, percent: int, parts: int = 64) -> DataFrame:
+    """(c, reach, spread) of the open classes that can link to another component.
+
+    spread counts, in each of ``parts`` fixed parts of the hash range, the shingles of a class that occur in an open
+    class of another component; reach is their sum. Two classes of different components share at most the sum of
+    the lesser counts. A link needs intersection * (100 + percent) >= percent * (n + other n), and the other set has
+    at least ``percent`` hundredths of the shingles.
+    """
+    classes = pool.groupBy("c").agg(F.min("n").alias("n"), F.min("label").alias("label"))
+    pieces = classes.join(sets, "c").select("c", "n", "label", F.explode("set").alias("g"))
+    across = pieces.groupBy("g").agg(F.min("label").alias("_l0"), F.max("label").alias("_l1")).filter("_l0 < _l1").select("g")
+    counts = pieces.join(across, "g").groupBy("c", "n", F.pmod("g", F.lit(parts)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("k"))
+    found = counts.groupBy("c", "n").agg(F.sum("k").alias("reach"), F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("_k"))
+    found = found.filter(F.col("reach") * 100 >= F.col("n") * percent)
+    return found.select("c", "reach", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.col("_k")[i], F.lit(0))).alias("spread"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -153,7 +173,8 @@ def near_duplicates(
     own = usable.join(classes.select(F.col("digest").alias("_d"), "c"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("c")), "left_semi")
     own = own.dropDuplicates(["_id", "digest"])
     members = own.select(F.col("_id").alias("c"), "n", "digest", F.posexplode("bands").alias("band", "h"))
-    buckets = members.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    draw = F.struct(F.xxhash64("c", "band").alias("x"), "c")
+    buckets = members.groupBy("band", "h").agg(F.min(draw).c.alias("low"), F.max(draw).c.alias("high")).filter("low <> high")
     shared = scratch.table("shared", members.join(buckets, ["band", "h"]).select("band", "h", "c", "n", "digest", "low", "high"))
     needed = shared.select("c", "digest").distinct()
 
@@ -162,15 +183,14 @@ def near_duplicates(
 
         def make(batch):
             sets = [shingle(t) for t in batch["_text"].to_pylist()]
-            return [[_digest(s) == d for s, d in zip(sets, batch["digest"].to_pylist(), strict=True)], [s.tobytes() for s in sets]]
+            return [[_digest(s) == d for s, d in zip(sets, batch["digest"].to_pylist(), strict=True)], [s.view(np.int64) for s in sets]]
 
         return make
 
     texts = base.join(needed, base["_id"] == needed["c"]).select("c", "digest", "_text").dropDuplicates(["c", "digest", "_text"])
-    sets = extend(texts, "same boolean, set binary", start_sets, drop=("_text", "digest")).filter("same").select("c", "set")
+    sets = extend(texts, "same boolean, set array<long>", start_sets, drop=("_text", "digest")).filter("same").select("c", "set")
     sets = scratch.table("sets", sets)
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    links = None
     labels = None
     for turn, hub in enumerate(("low", "high", None)):
         pool = shared
@@ -185,12 +205,15 @@ def near_duplicates(
             pairs = (pairs.filter("label <> lb") if labels is not None else pairs).select(F.col("c").alias("a"), "b")
         else:
             # only between components: within one, a link would change nothing
-            y = pool.select("band", "h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = pool.join(y, ["band", "h"]).filter((F.col("label") < F.col("lb")) & fits("n", "nb")).select(F.col("c").alias("a"), "b")
+            pool = pool.join(_reach(pool, sets, percent), "c")
+            y = pool.select("band", "h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("reach").alias("rb"), F.col("spread").alias("sb"))
+            enough = lambda most: most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
+            common = F.aggregate(F.zip_with("spread", "sb", lambda u, v: F.least(u, v)), F.lit(0), lambda total, k: total + k)
+            near = enough(F.least("reach", "rb")) & enough(common)
+            pairs = pool.join(y, ["band", "h"]).filter((F.col("label") < F.col("lb")) & fits("n", "nb") & near).select(F.col("c").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = scratch.table(f"links-{turn}", _confirm(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        labels = connected(links, scratch, f"components-{turn}")
+        labels = extend_components(labels, found, scratch, f"components-{turn}")
     found = classes.join(labels, classes["c"] == labels["v"], "left").select(F.col("digest").alias("_d"), F.coalesce("label", "c").alias("component_id"))
     out = sketched.join(found, F.col("digest") == F.col("_d"), "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))

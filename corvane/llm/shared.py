@@ -51,11 +51,12 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def extend(df: DataFrame, new: str, start, drop: tuple[str, ...] = ("_text",)) -> DataFrame:
+def extend(df: DataFrame, new: str, start, drop: tuple[str, ...] = ("_text",), slice_bytes: int = 8 << 20) -> DataFrame:
     """The columns of ``df`` without those of ``drop``, and the columns of the DDL text ``new``.
 
     ``start()`` runs once in each task and returns the function of an Arrow batch that gives the new
-    columns' values. Kept columns pass through as Arrow arrays, so ids with nulls stay integers.
+    columns' values. It gets slices of about ``slice_bytes``, so that Python's copies of the values stay small. Kept
+    columns pass through as Arrow arrays, so ids with nulls stay integers.
     """
     added = T._parse_datatype_string(new)
     kept = [f for f in df.schema.fields if f.name not in drop]
@@ -64,8 +65,11 @@ def extend(df: DataFrame, new: str, start, drop: tuple[str, ...] = ("_text",)) -
 
     def run(batches):
         make = start()
-        for batch in batches:
-            values = [pa.array(v, t.type) for v, t in zip(make(batch), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + values, names=[*names, *types.names])
+        for whole in batches:
+            step = max(1, whole.num_rows * slice_bytes // max(whole.nbytes, 1))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                values = [pa.array(v, t.type) for v, t in zip(make(batch), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + values, names=[*names, *types.names])
 
     return df.mapInArrow(run, schema)

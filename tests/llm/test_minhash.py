@@ -81,3 +81,13 @@ def test_components(spark, n):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 102), (102, 101)], "a long, b long")
     got = {r.v: r.label for r in components.connected(links, Scratch(spark, "test"), "t").collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_components_grow(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    scratch = Scratch(spark, "test")
+    first = components.extend_components(None, frame([(5, 6), (7, 8), (1, 2)]), scratch, "a")
+    second = components.extend_components(first, frame([(6, 8), (9, 2), (20, 21)]), scratch, "b")
+    assert {r.v: r.label for r in second.collect()} == {5: 5, 6: 5, 7: 5, 8: 5, 1: 1, 2: 1, 9: 1, 20: 20, 21: 20}
+    third = components.extend_components(second, frame([]), scratch, "c")
+    assert third.count() == 9
