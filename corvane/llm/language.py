@@ -46,7 +46,7 @@ def train(examples: list[tuple[str, str]], languages: list[str], smoothing: floa
 class TextScorer:
     """Log likelihoods of texts; each distinct word is scored once while it stays in the table."""
 
-    def __init__(self, model: np.ndarray, tempering: float, table_words: int = 300_000):
+    def __init__(self, model: np.ndarray, tempering: float, table_words: int = 150_000):
         self.model, self.tempering, self.most = model, tempering, table_words
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, model.shape[1]), np.float32)
@@ -124,16 +124,18 @@ def identify(
     scored = extend(base, "_ll array<double>", start)
     exps = F.transform("_ll", lambda x: F.exp(x - F.array_max("_ll")))
     total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    scored = Scratch(rows.sparkSession, "language").table("scored", scored.withColumn("_p", F.transform(exps, lambda x: x / total)))
+    scratch = Scratch(rows.sparkSession, "language")
+    scored = scratch.table("scored", scored.withColumn("_p", F.transform(exps, lambda x: x / total)))
     sums = [F.sum(F.col("_p")[i]).alias(f"_s{i}") for i in range(k)]
     whole = scored.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"_s{i}") for i, s in enumerate(sums)]).first()
     n_all = max(sum(whole), 1e-9)
     prior = [(whole[i] + 1) / (n_all + k) for i in range(k)]
     array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    by = lambda c: scored.filter(F.col(c).isNotNull()).groupBy(c).agg(F.array(*sums).alias(f"{c}_sums"))
     joined = scored
     for c in ("_declared", "_suffix", "_host"):
-        joined = joined.join(by(c), c, "left")
+        table = scratch.table(c, scored.filter(F.col(c).isNotNull()).groupBy(c).agg(F.array(*sums).alias(f"{c}_sums")))
+        # up to 100,000 values (some ten megabytes) are broadcast, so that the rows stay where they are
+        joined = joined.join(F.broadcast(table) if table.count() <= 100_000 else table, c, "left")
     zeros = array([0] * k)
     own = lambda c: F.coalesce(F.zip_with(c, "_p", lambda s, p: F.greatest(s - p, F.lit(0.0))), zeros)
     size = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)

@@ -69,7 +69,7 @@ class Chunks:
 
 
 def encode_documents(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = (), table_chunks: int = 500_000
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = (), table_chunks: int = 150_000
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256 and the columns of ``keep``.
 
