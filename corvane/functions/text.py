@@ -153,19 +153,28 @@ def informative_passage(text: Column, markers=lex.CONTENT_MARKERS, size: int = 2
     return strip(F.substring(text, start, F.lit(size)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def leftmost(text: Column, terms: Column) -> Column:
     """1-based place of the first of any term in the lower-cased text; null without one."""
-    return F.array_min(F.filter(F.transform(terms, lambda t: F.instr(F.lower(text), t)), lambda p: p > 0))
+    return let(F.lower(text), lambda low: F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)))
 
 
 def snippet(text: Column, terms: Column, size: int = 600, before: int = 100) -> Column:
     """``size`` characters from ``before`` characters ahead of the first hit, with dots where text was cut."""
-    at = leftmost(text, terms)
-    start = F.greatest(F.lit(0), at - 1 - before)
-    end = F.least(F.length(text), start + size)
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.length(text), "...").otherwise(""))
-    head = F.concat(F.substring(text, 1, size), F.when(F.length(text) > size, "...").otherwise(""))
-    return F.when(at.isNull(), head).otherwise(cut)
+
+    def cut(span: Column) -> Column:
+        head, tail = F.when(span.s > 0, "...").otherwise(""), F.when(span.e < F.length(text), "...").otherwise("")
+        return F.concat(head, F.substring(text, span.s + 1, span.e - span.s), tail)
+
+    def around(at: Column) -> Column:
+        start = F.when(at.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), at - 1 - before))
+        return let(start, lambda s: let(F.struct(s.alias("s"), F.least(F.length(text), s + size).alias("e")), cut))
+
+    return let(leftmost(text, terms), around)
 
 
 def escape_html(text: Column) -> Column:
@@ -177,12 +186,14 @@ def escape_html(text: Column) -> Column:
 def marked_snippet(query: Column, text: Column, size: int = 420, before: int = 80, stop=lex.HIGHLIGHT_STOP) -> Column:
     """A snippet with the query's words of four letters or more in section marks, longest words first."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0)), lambda w: ~F.array_contains(words_literal(stop), F.lower(w))))
-    at = leftmost(text, F.transform(words, F.lower))
-    start = F.greatest(F.lit(0), F.coalesce(at, F.lit(1)) - 1 - before)
-    cut = strip(squeeze(F.substring(text, start + 1, F.lit(size))))
-    longest = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
     mark = lambda s, w: F.regexp_replace(s, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])("), w, F.lit(r")(?![\p{L}\p{N}_])")), F.lit("§§$1§§"))
-    return F.concat(F.when(start > 0, "… ").otherwise(""), F.aggregate(longest, cut, mark), F.when(F.length(text) > size, " …").otherwise(""))
+
+    def with_words(ws: Column) -> Column:
+        longest = F.array_sort(ws, lambda a, b: F.length(b) - F.length(a))
+        start = F.greatest(F.lit(0), F.coalesce(leftmost(text, F.transform(ws, F.lower)), F.lit(1)) - 1 - before)
+        return let(start, lambda s: F.concat(F.when(s > 0, "… ").otherwise(""), F.aggregate(longest, strip(squeeze(F.substring(text, s + 1, F.lit(size)))), mark), F.when(F.length(text) > size, " …").otherwise("")))
+
+    return let(words, with_words)
 
 
 def marks_to_html(text: Column) -> Column:

@@ -15,8 +15,8 @@ from corvane.operators import dense
 def hashed_encoder(text: Column, size: int = 64) -> Column:
     """A stand-in for a text encoder: counts of hashed tokens, normalised. It stays in the JVM."""
     at = F.transform(T.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    return dense.normalize(counts)
+    slots = F.sequence(F.lit(0), F.lit(size - 1))
+    return dense.normalize(T.let(at, lambda found: F.transform(slots, lambda i: F.size(F.filter(found, lambda x: x == i)).cast("double"))))
 
 
 def build(decisions: DataFrame, encode: Callable[[Column], Column] = hashed_encoder, most: int = 1200, overlap: int = 150) -> DataFrame:
