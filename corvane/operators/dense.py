@@ -58,20 +58,24 @@ def search(corpus: DataFrame, did: str, vector: str, queries: DataFrame, qid: st
 
         def best(batches, ids=ids, matrix=matrix, width=width):
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held_rows = 0
             for batch in batches:
                 vectors = batch.column("v")
                 fits = np.diff(vectors.offsets.to_numpy()) == width
                 own = batch.column("did").to_numpy()[fits]
                 values = pa.ListArray.from_arrays(vectors.offsets, vectors.values).filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
                 score = np.round(values.astype(np.float64).reshape(-1, width) @ matrix.T, 6)
-                for q in range(len(ids)):
-                    s, d = score[:, q], own
-                    if skip_self:
-                        s, d = s[own != ids[q]], own[own != ids[q]]
-                    order = np.lexsort((d, -s))[:k]
-                    kept.append((np.full(len(order), ids[q]), d[order], s[order]))
-                if len(kept) > 4 * len(ids):
-                    kept = [_trim(kept, k)]
+                if skip_self:
+                    score[own[:, None] == ids] = -np.inf
+                if len(own) > k:  # all that reach the k-th best score, ties too
+                    good = score >= np.partition(score, len(own) - k, axis=0)[len(own) - k]
+                else:
+                    good = np.ones(score.shape, bool)
+                row, q = np.nonzero(good & np.isfinite(score))
+                kept.append((ids[q], own[row], score[row, q]))
+                held_rows += len(row)
+                if held_rows > 4 * k * len(ids):
+                    kept, held_rows = [_trim(kept, k)], 0
             if kept:
                 q, d, s = _trim(kept, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["qid", "did", "score"])
