@@ -62,4 +62,4 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_sentencepiece, op5_secret_scan, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
-ORACLE_SQL = {"op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op2_minhash": minhash.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -110,6 +110,11 @@ def _characters(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
     return [[count(at[s][0]), count(at[e - 1][1])] for s, e in spans]
 
 
+def _without(text: str, marks: list[list[int]]) -> str:
+    """The text without the marked spans."""
+    return "".join(text[a:b] for a, b in zip([0, *(e for _, e in marks)], [*(s for s, _ in marks), len(text)], strict=True)) if marks else text
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
     """The items in blocks of about ``block_bytes``; each is collected by itself."""
     items = benchmark.select(benchmark[item_col].cast("string").alias("i"), F.coalesce(benchmark[text_col], F.lit("")).alias("t")).filter("i IS NOT NULL")
@@ -141,35 +146,29 @@ def find_benchmark(
     """
     df = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), *[docs[c].alias(f"_keep_{c}") for c in keep])
     df = df.withColumn("_spans", F.expr("CAST(array() AS array<array<int>>)")).withColumn("_items", F.expr("CAST(array() AS array<string>)"))
-    for block in blocks(benchmark, item_col, item_text_col, block_bytes):
-        phrases = Phrases(block, window)
+    parts = blocks(benchmark, item_col, item_text_col, block_bytes)
+    for number, block in enumerate(parts, 1):
+        phrases, last = Phrases(block, window), number == len(parts)
 
-        def start(phrases=phrases):
+        def start(phrases=phrases, last=last):
             def make(batch):
-                words = [split_words(t) for t in batch["_text"].to_pylist()]
+                texts = batch["_text"].to_pylist()
+                words = [split_words(t) for t in texts]
                 spans, items = search_shard(words, phrases)
                 spans = [_merge([*map(tuple, old), *new]) for old, new in zip(batch["_spans"].to_pylist(), spans, strict=True)]
                 items = [sorted({*old, *(phrases.ids[k] for k in new)}) for old, new in zip(batch["_items"].to_pylist(), items, strict=True)]
-                return [[len(w) for w in words], [[list(x) for x in s] for s in spans], items]
+                if not last:
+                    return [[[list(x) for x in s] for s in spans], items]
+                marks = [_characters(t, s) for t, s in zip(texts, spans, strict=True)]
+                out = [[len(w) for w in words], [sum(e - s for s, e in x) for x in spans], items, marks]
+                return out + ([[_without(t, m) for t, m in zip(texts, marks, strict=True)]] if clean else [])
 
             return make
 
-        df = extend(df, "_n long, _new_spans array<array<int>>, _new_items array<string>", start, drop=("_spans", "_items", "_n"))
+        new = "n_words long, n_hit long, items array<string>, spans array<array<int>>" + ", cleaned string" * clean
+        df = extend(df, new if last else "_new_spans array<array<int>>, _new_items array<string>", start, drop=("_spans", "_items", "_text")[: 3 if last else 2])
         df = df.withColumnsRenamed({"_new_spans": "_spans", "_new_items": "_items"})
-
-    def finish():
-        def make(batch):
-            texts, spans = batch["_text"].to_pylist(), batch["_spans"].to_pylist()
-            marks = [_characters(t, s) for t, s in zip(texts, spans, strict=True)]
-            cut = ["".join(t[a:b] for a, b in zip([0, *(e for _, e in m)], [*(s for s, _ in m), len(t)], strict=True)) if m else t for t, m in zip(texts, marks, strict=True)] if clean else None
-            return [[sum(e - s for s, e in x) for x in spans], marks, *([cut] if clean else [])]
-
-        return make
-
-    df = extend(df, "n_hit long, spans array<array<int>>" + ", cleaned string" * clean, finish, drop=("_text", "_spans"))
-    return df.select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_words"), "n_hit", F.col("_items").alias("items"), "spans", *["cleaned"] * clean, *[F.col(f"_keep_{c}").alias(c) for c in keep]
-    )
+    return df.select(F.col("_id").alias(id_col), "n_words", "n_hit", "items", "spans", *["cleaned"] * clean, *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -177,3 +176,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     found = find_benchmark(docs, benchmark, **options)
     names = F.concat_ws(",", "items")
     return found.select(found.columns[0], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+phrases AS (SELECT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS p FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM phrases),
+docs AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS p FROM docs, sizes WHERE len(w) >= n),
+found AS (SELECT DISTINCT doc_id, n, pos, item FROM places JOIN phrases USING (n, p)),
+covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS word FROM (SELECT DISTINCT doc_id, n, pos FROM found)) GROUP BY doc_id),
+owners AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""

@@ -37,7 +37,7 @@ def directory(keys: DataFrame, bucket_keys: int, max_depth: int) -> DataFrame:
     levels = levels.withColumn("_prefix", F.expr(f"shiftright(_cell, {max_depth} - _level)"))
     overfull = levels.groupBy("_level", "_prefix").agg(F.sum("_n").alias("_all")).filter(F.col("_all") > bucket_keys)
     depth = (
-        levels.join(overfull, ["_level", "_prefix"], "left")
+        levels.join(F.broadcast(overfull), ["_level", "_prefix"], "left")  # fewer than 2 ** max_depth rows
         .groupBy("_cell")
         .agg(F.coalesce(F.max(F.when(F.col("_all").isNotNull(), F.col("_level") + 1)), F.lit(0)).alias("_depth"))
     )

@@ -7,6 +7,8 @@ an executor is lost, later stages read the committed files again.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -51,13 +53,25 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system at a task's end; Spark keeps Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def extend(df: DataFrame, new: str, start, drop: tuple[str, ...] = ("_text",), slice_bytes: int = 8 << 20) -> DataFrame:
     """The columns of ``df`` without those of ``drop``, and the columns of the DDL text ``new``.
 
     ``start()`` runs once in each task and returns the function of an Arrow batch that gives the new
     columns' values. It gets slices of about ``slice_bytes``, so that Python's copies of the values stay small. Kept
-    columns pass through as Arrow arrays, so ids with nulls stay integers.
+    columns pass through as Arrow arrays, so ids with nulls stay integers. If the session leaves Spark's limit of 64 MB
+    for an Arrow batch as it is, it is lowered to 16 MB: executors hold several batches at once beside their heap.
     """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, "64MB") in ("64MB", "67108864", "67108864b"):
+        df.sparkSession.conf.set(limit, "16777216b")
     added = T._parse_datatype_string(new)
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = T.StructType(kept + added.fields)
@@ -71,5 +85,7 @@ def extend(df: DataFrame, new: str, start, drop: tuple[str, ...] = ("_text",), s
                 batch = whole.slice(at, step)
                 values = [pa.array(v, t.type) for v, t in zip(make(batch), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + values, names=[*names, *types.names])
+        del make
+        _give_back()
 
     return df.mapInArrow(run, schema)
