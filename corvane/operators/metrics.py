@@ -78,3 +78,8 @@ def winners(a: DataFrame, b: DataFrame, k: int, names: tuple[str, str]) -> DataF
     """(qid, winner) from hit_<k> of two systems: the one with a hit, or tie."""
     joined = a.select("qid", F.col(f"hit_{k}").alias("_a")).join(b.select("qid", F.col(f"hit_{k}").alias("_b")), "qid")
     return joined.select("qid", F.when(F.col("_a") > F.col("_b"), names[0]).when(F.col("_b") > F.col("_a"), names[1]).otherwise("tie").alias("winner"))
+
+
+def examples(won: DataFrame, winner: str, details: DataFrame, columns: list[str], most: int = 15) -> DataFrame:
+    """A report of the first ``most`` queries that a system wins, with columns of ``details`` (qid, …)."""
+    return won.filter(F.col("winner") == winner).join(details, "qid").select("qid", *columns).orderBy("qid").limit(most)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corvane.functions import lexicon as lex
+from corvane.operators.grounding import GROUNDED_PROMPT, PLAIN_PROMPT
 
 from .queries import HEADING, KEYWORDS, MARKERS, SOURCES, STATUTE, SUBJECT
 
@@ -248,7 +249,26 @@ summary AS (SELECT w.qid, w.n_results, b.kurul AS board, b.c AS board_count, w.n
   LEFT JOIN (SELECT qid, string_agg(name || ' (' || c || ')', ' · ' ORDER BY place) AS x FROM verdicts WHERE place <= 3 GROUP BY qid) v ON w.qid = v.qid
   LEFT JOIN (SELECT qid, string_agg(name, '; ' ORDER BY place) AS x FROM laws WHERE place <= 2 GROUP BY qid) l ON w.qid = l.qid)"""
 
+def training_pairs() -> str:
+    allowed = lambda q: f"(NOT list_contains({_list(lex.TRAINING_STOP_QUERIES)}, {q}) AND NOT {metadata(q)})"
+    head = "substr(text, 1, 600)"
+    caps = f"list_filter(list_transform(regexp_extract_all({head}, {_s(HEADING)}, 1), lambda z: lower({strip('z')})), lambda z: length(z) > 8 AND length(z) < 100 AND len({words('z')}) >= 2 AND {allowed('z')})"
+    line = f"list_filter([substr(lower({strip(f'regexp_extract({head}, {_s(SUBJECT)}, 1)')}), 1, 80)], lambda z: z <> '' AND {allowed('z')})"
+    bare = " AND ".join(f"NOT contains(lower(z), {_s(w)})" for w in ("i̇çtihat", "mahkemesi", "esas"))
+    fallback = f"list_transform(list_filter({sents('substr(text, 1, 1500)')}, lambda z: length(z) > 40 AND length(z) < 200 AND NOT {metadata('lower(z)')} AND {bare} AND NOT contains(string_split(lower(z), ' ')[1], 'karar'))[1:1], lambda z: substr(lower(z), 1, 180))"
+    return f"""WITH dec AS (SELECT doc_id AS karar_id, text, list_filter(list_concat({caps}, {line}, list_transform({statutes('text')}[1:2], lambda z: lower(z))), lambda z: length(z) > 8 AND length(z) < 200) AS q
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE length(text) >= 800),
+asked AS (SELECT karar_id, text, CASE WHEN len(q) = 0 THEN {fallback} ELSE list_filter(q, lambda z, i: list_position(q, z) = i)[1:3] END AS q FROM dec),
+cut AS (SELECT karar_id, q, list_filter({chunks('text', 1200, 100)}, lambda z: length(z) >= 400) AS c FROM asked WHERE len(q) > 0),
+pairs AS (SELECT karar_id, unnest(q) AS query, c FROM cut WHERE len(c) > 0),
+picked AS (SELECT karar_id, query, c[('0x' || substr(md5(karar_id || '|' || query || '|42'), 1, 8))::BIGINT % len(c) + 1] AS passage FROM pairs)
+SELECT karar_id, query, length(passage)::INTEGER AS size, md5(passage) AS digest FROM picked"""
+
+
 ORACLE_SQL = {
+    "training_pairs": training_pairs(),
+    "prompts": f"""WITH {CONTEXT} SELECT b.item_id AS qid, md5(replace(replace({_s(GROUNDED_PROMPT)}, '{{question}}', b.text), '{{context}}', coalesce(context, ''))) AS grounded,
+  md5(replace({_s(PLAIN_PROMPT)}, '{{question}}', b.text)) AS plain FROM benchmark b LEFT JOIN ctx ON b.item_id = ctx.qid""",
     "tokenize": f"SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS tok FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, {toks('text')} AS t FROM documents))",
     "df_idf": f"WITH {bm25()} SELECT tok, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {bm25()}, {ranked(10)} SELECT qid, did, score, rank FROM sparse",
