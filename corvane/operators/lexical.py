@@ -84,17 +84,18 @@ def search(index: Bm25, queries: DataFrame, qid: str, text: str, k: int = 10, to
 def padded_run(index: Bm25, queries: DataFrame, qid: str, text: str, k: int = 100, tokenize=T.tokens) -> DataFrame:
     """(qid, did, score, rank) of ``k`` documents for each query that has tokens, without regard to sign.
 
-    Documents with none of the query's tokens score 0 and come by id. At most ``k`` + matches of them can be
-    needed; candidates are the first ids of the corpus not matched, so no pairs of all queries and documents are made.
+    Documents with none of the query's tokens score 0 and come by id. Only queries with fewer than ``k`` positive scores need
+    them, and then the first ids of the corpus, as many as the query's matches and ``k`` more, are enough; so no pairs of all
+    queries and documents are made.
     """
     real = scores(index, queries, qid, text, tokenize)
-    asked = query_terms(queries, qid, text, tokenize).groupBy("qid").agg(F.count("*").alias("_n")).select("qid")
+    asked = query_terms(queries, qid, text, tokenize).select("qid").distinct()
     best = top(real.filter("score > 0"), k).drop("rank")
     low = real.filter("score <= 0")
-    matched = real.groupBy("qid").agg(F.count("*").alias("m"))
-    most = (matched.agg(F.max("m")).first()[0] or 0) + k
-    ordered = index.docs.select("did").orderBy("did").limit(int(most))
-    filler = asked.crossJoin(F.broadcast(ordered)) if most <= 10_000 else asked.crossJoin(ordered)
+    matched = real.groupBy("qid").agg(F.sum((F.col("score") > 0).cast("int")).alias("_p"), F.count("*").alias("_m"))
+    short = asked.join(matched, "qid", "left").filter(F.coalesce("_p", F.lit(0)) < k).select("qid", F.coalesce("_m", F.lit(0)).alias("_m"))
+    most = (short.agg(F.max("_m")).first()[0] or 0) + k
+    first = index.docs.select("did").orderBy("did").limit(int(most))
+    filler = short.select("qid").crossJoin(F.broadcast(first) if most <= 10_000 else first)
     filler = filler.join(real.select("qid", "did"), ["qid", "did"], "left_anti").withColumn("score", F.lit(0.0))
-    filler = top(filler, k).drop("rank")
-    return top(best.unionByName(low).unionByName(filler), k)
+    return top(best.unionByName(low).unionByName(top(filler, k).drop("rank")), k)
