@@ -105,3 +105,13 @@ def test_snippets_and_norms(spark):
     assert one(spark, T.citations(F.col("t")), t="[Karar 1] [Karar 7] [Karar 1]") == [1, 7]
     stars = spark.createDataFrame([(p,) for p in (0.0005, 0.005, 0.03, 0.2, None)], "p double").select(T.stars(F.col("p")).alias("s")).collect()
     assert [r.s for r in stars] == ["***", "**", "*", "ns", ""]
+
+
+def test_table_function(spark):
+    from corvane.functions import udtf
+
+    udtf.register(spark)
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").createOrReplaceTempView("docs_for_udtf")
+    got = spark.sql("SELECT d.doc_id, c.chunk_idx, c.n_chunks, c.text FROM docs_for_udtf d, LATERAL chunk(d.text) c").collect()
+    native = chunking.chunk_records(spark.table("docs_for_udtf").select("doc_id", "text")).select("doc_id", "chunk_idx", "n_chunks", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, native))
