@@ -102,8 +102,8 @@ def identify(
 ) -> DataFrame:
     """One row per row: id, text_lang, lang_id, confidence, kept, and the columns of ``keep``.
 
-    ``declared``, ``suffix`` and ``host`` name columns of evidence; without one, that evidence is neutral,
-    and so is a null or, for ``declared``, a value outside ``languages`` is a value of its own. ``model`` is
+    ``declared``, ``suffix`` and ``host`` name columns of evidence; without one, or where it is null, that evidence is
+    neutral. A declared value needs not be a language: what it says is learnt from the rows that have it. ``model`` is
     what ``train`` gives; without it, one is fitted on rows that ``label`` marks. A text without words
     gives no evidence; its text_lang is null, and its lang_id comes from the rest. kept is true where the
     text has words and confidence, the posterior of lang_id, is at least ``min_confidence``; ties of
