@@ -33,10 +33,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup (9): of equal texts the largest doc_id stays, once."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_sha"])
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"])
-    return rows.join(kept, same, "left_semi").select(*docs.columns)
+    # an id as text is never "null", so rows without one meet as well, and one deal by (_key, _sha) serves both steps
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(key, F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumns({"_key": key, "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)}).dropDuplicates(["_key", "_sha"])
+    return rows.join(kept, ["_key", "_sha"], "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
