@@ -32,7 +32,7 @@ def fallback(*columns: Column) -> Column:
 def tokens(text: Column, stop=lex.STOP_WORDS) -> Column:
     """Words of at least three characters outside the stop list, lower-cased and with the dotless i as i."""
     found = F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), "ı", "i"), F.lit(WORD), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(words_literal(stop), w))
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
 
 def clean_html(html: Column) -> Column:

@@ -59,14 +59,16 @@ def size_of(df: DataFrame) -> int:
 
 def scores(index: Bm25, queries: DataFrame, qid: str, text: str, tokenize=T.tokens) -> DataFrame:
     """(qid, did, score) of every query and every document with one of its tokens."""
-    terms = query_terms(queries, qid, text, tokenize).join(index.idf.select("tok", "idf"), "tok")
-    vocabulary = terms.select("tok").distinct()
-    small = size_of(vocabulary) < SMALL
+    asked = query_terms(queries, qid, text, tokenize)
+    vocabulary = asked.select("tok").distinct()
+    small = size_of(asked) < SMALL  # measured on the queries alone, so the corpus isn't read for it
+    idf = index.idf.select("tok", "idf").join(F.broadcast(vocabulary) if small else vocabulary, "tok", "left_semi")
+    terms = asked.join(idf, "tok")
     found = index.docs.select("did", "dl", F.explode("toks").alias("tok")).join(F.broadcast(vocabulary) if small else vocabulary, "tok", "left_semi")
     postings = found.groupBy("did", "dl", "tok").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + index.k1 * (1 - index.b + index.b * F.col("dl") / F.lit(index.avgdl or 1.0))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (index.k1 + 1) / norm
-    joined = postings.join(F.broadcast(terms) if small and size_of(terms) < SMALL else terms, "tok")
+    joined = postings.join(F.broadcast(terms) if small else terms, "tok")
     return joined.groupBy("qid", "did").agg(F.round(F.sum(part), 6).alias("score"))
 
 
