@@ -57,8 +57,15 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 def op10_language_id(spark, sf_dir):
-    """Language of every document; its lang column is the declared language and its source the host."""
-    return language.identify(documents(spark, sf_dir), declared="lang", host="source", label="lang")
+    """Language of every document and every page, with doc_id or page_id.
+
+    A document's lang column is its declared language and its source the host; it has no address, so no suffix. A page's
+    evidence comes from its markup and url. Documents train the text model for both; each table has its own evidence tables.
+    """
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, "doc_id", "text", "lang")
+    of_docs = language.identify(docs, declared="lang", host="source", model=model)
+    return of_docs.unionByName(language.identify_pages(documents(spark, sf_dir, "pages"), model=model), allowMissingColumns=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_sentencepiece, op5_secret_scan, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}

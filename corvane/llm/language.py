@@ -18,10 +18,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import clean_html
+
 from .shared import Scratch, extend
+from .url_filter import host_of
 
 BUCKETS = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
@@ -84,6 +87,39 @@ def sample(labelled: DataFrame, languages: list[str], train_rows: int) -> list[t
     return [(r._text, r._label) for r in usable.withColumn("_rank", rank).filter(F.col("_rank") <= train_rows).select("_text", "_label").collect()]
 
 
+def fit(rows: DataFrame, id_col: str, text_col: str, label: str | None, languages: tuple[str, ...] = ("de", "en", "es", "fr"), train_rows: int = 300) -> np.ndarray:
+    """What ``train`` gives for the sample of rows that ``label`` marks."""
+    languages = sorted(languages)
+    marked = F.lit(None).cast("string") if label is None else rows[label].cast("string")
+    return train(sample(rows.select(rows[id_col].alias("_id"), F.coalesce(rows[text_col], F.lit("")).alias("_text"), marked.alias("_label")), languages, train_rows), languages)
+
+
+def markup_language(html: Column) -> Column:
+    """The primary language subtag that markup declares, in lower case: of the html tag, else of a content-language meta tag; else null."""
+    plain = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    root = F.regexp_extract(plain, r"(?is)<html\s(?:[^>]*?[\s\"'])?(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,8})", 1)
+    meta = F.regexp_extract(plain, r"(?is)<meta\s[^>]*?http-equiv\s*=\s*[\"']?content-language[^>]*>", 0)
+    content = F.regexp_extract(meta, r"(?is)\scontent\s*=\s*[\"']?\s*([a-z]{2,8})", 1)
+    return F.lower(F.coalesce(F.nullif(root, F.lit("")), F.nullif(content, F.lit(""))))
+
+
+def address_host(url: Column) -> Column:
+    """The host of an address in lower case, without user, port and closing dots; null where there is none."""
+    return F.nullif(F.regexp_replace(host_of(url), r"^.*@|:\d*$|\.+(?=:\d*$|$)", ""), F.lit(""))
+
+
+def address_suffix(url: Column) -> Column:
+    """The last label of an address's host; null for numbers and for hosts of one label."""
+    return F.nullif(F.regexp_extract(address_host(url), r"\.([^.\d\[\]:][^.\[\]:]*)$", 1), F.lit(""))
+
+
+def identify_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """``identify`` on raw pages: the markup's text, and as evidence its declared language, the address's suffix and its host."""
+    html, url = pages[html_col], pages[url_col]
+    rows = pages.select(pages[id_col], clean_html(html).alias("_page"), markup_language(html).alias("_markup"), address_suffix(url).alias("_top"), address_host(url).alias("_site"))
+    return identify(rows, id_col, "_page", declared="_markup", suffix="_top", host="_site", **options)
+
+
 def identify(
     rows: DataFrame,
     id_col: str = "doc_id",
@@ -115,7 +151,7 @@ def identify(
     value = lambda c: rows[c].cast("string") if c else F.lit(None).cast("string")
     base = rows.select(rows[id_col].alias("_id"), text.alias("_text"), value(declared).alias("_declared"), value(suffix).alias("_suffix"), value(host).alias("_host"), *[rows[c].alias(f"_keep_{c}") for c in keep])
     if model is None:
-        model = train(sample(rows.select(rows[id_col].alias("_id"), text.alias("_text"), value(label).alias("_label")), languages, train_rows), languages)
+        model = fit(rows, id_col, text_col, label, languages, train_rows)
 
     def start():
         score = TextScorer(model, tempering)
