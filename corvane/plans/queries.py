@@ -81,8 +81,9 @@ def _same_label(spark, folder, k=10):
     return run.join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("_q")), "qid")
 
 
-def _fused(spark, folder, top_k=10):
-    return fusion.hybrid(_item_vectors(spark, folder, 30), _bm25(spark, folder, 30), top_k)
+def _fused(spark, folder, top_k=10, fetch_k=30):
+    """The best ``top_k`` of the fused run of ``fetch_k`` results from each list."""
+    return fusion.hybrid(_item_vectors(spark, folder, fetch_k), _bm25(spark, folder, fetch_k), top_k)
 
 
 def _results(spark, folder):
@@ -294,7 +295,7 @@ def metrics_gold(spark, folder):
 
 def suite_means(spark, folder):
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"))
-    fused = _fused(spark, folder, 100).withColumnRenamed("pos", "rank")
+    fused = _fused(spark, folder, 100, 100).withColumnRenamed("pos", "rank")
     runs = {"bm25": _bm25(spark, folder, 100), "dense": _item_vectors(spark, folder, 100), "hybrid": fused}
     return metrics.means(evaluation.suite(runs, _qrels(spark, folder), queries), "system")
 
