@@ -8,7 +8,8 @@ trained on a small labelled table, made here from a few dozen marked templates,
 padded batches of sequences.
 
 A label other than O needs a trigger (a digit, "@", "dot" or a bracketed "at") within ``REACH`` characters. Sequences are
-the stretches around triggers, cut at white space; all that lies between them is O by definition, in texts of any length.
+the stretches around triggers, cut at white space before the first and after the last trigger; all that lies between
+them is O by definition, in texts of any length.
 """
 
 from __future__ import annotations
@@ -308,24 +309,24 @@ def train(table: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 150
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers, cut at white space."""
+    """Stretches around triggers, cut at white space before the first and after the last trigger."""
     marks = [m.span() for m in _TRIGGER.finditer(text)]
     low = text.lower() if len(text.lower()) == len(text) else text
     if "dot" in low or "at)" in low or "at]" in low:
         marks = sorted(marks + [m.span() for m in _WORDY.finditer(text)])
     out: list[list[int]] = []
-    for s, e in marks:
-        s, e = max(0, s - REACH), min(len(text), e + REACH)
+    for first, last in marks:
+        s, e = max(0, first - REACH), min(len(text), last + REACH)
         if out and s <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
+            out[-1][1], out[-1][3] = max(e, out[-1][1]), max(last, out[-1][3])
         else:
-            out.append([s, e])
-    for x in out:  # to the next white space inwards, unless the text ends there
-        if x[0] > 0 and (m := _BLANK.search(text, x[0], x[1])):
+            out.append([s, e, first, last])
+    for x in out:  # to the next white space inwards that lies outside the triggers, unless there is none or the text ends there
+        if x[0] > 0 and (m := _BLANK.search(text, x[0], x[2])):
             x[0] = m.start()
-        if x[1] < len(text) and (k := max(text.rfind(" ", *x), text.rfind("\n", *x))) > x[0]:
+        if x[1] < len(text) and (k := max(text.rfind(" ", x[3], x[1]), text.rfind("\n", x[3], x[1]))) >= 0:
             x[1] = k
-    return [(a, b) for a, b in out]
+    return [(a, b) for a, b, *_ in out]
 
 
 _BLANK = re.compile(r"\s")

@@ -1,0 +1,23 @@
+"""Stretches keep their triggers whole beside long runs without white space."""
+
+import pytest
+
+from corvane.llm import pii
+
+NUMBER = "(555) 123-4567"
+RUN = "x" * 60
+
+
+@pytest.mark.parametrize("text", [f"{RUN}{NUMBER} end", f"call {NUMBER}{RUN} end", f"{RUN}{NUMBER}{RUN}", f"a {RUN} {NUMBER} {RUN} b", f"{RUN}\t{NUMBER}\n{RUN}"])
+def test_stretches_hold_the_whole_number(text):
+    begin = text.index(NUMBER)
+    found = pii.stretches(text)
+    assert any(a <= begin and begin + len(NUMBER) <= b for a, b in found), found
+    assert all(b <= c for (_, b), (c, _) in zip(found, found[1:]))
+
+
+def test_number_before_a_long_run_is_found():
+    crf = pii.train(pii.labelled_table())
+    text = f"please call {NUMBER},{RUN}{RUN} and more words"
+    found = pii.added_spans([text], [pii.base_spans(text)], crf)[0]
+    assert any(s <= text.index("555") and text.index("4567") + 4 <= e and kind == pii.KINDS.index("phone") for s, e, kind in found), found
