@@ -259,12 +259,17 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """Labelled training texts: the smallest hashes of the ids, at most ``train_rows`` of each label.
 
     Ids are ranked without their texts. Texts are taken in that order while they fit in ``train_chars`` in all, half for
-    each label. The chosen ids are at most twice ``train_rows``, so they are broadcast.
+    each label. Of a text longer than a sixteenth of its label's half, a passage of that size is taken, at a place drawn by
+    the hash of its id, so that a label's half holds sixteen texts at least. The chosen ids are at most twice ``train_rows``, so they are broadcast.
     """
     usable = labels.select(labels[id_col].alias("_i"), labels[label_col].cast("int").alias("_y")).filter(~is_held_out(F.col("_i")) & F.col("_y").isin(0, 1))
     rank = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_i"), "_i"))
     chosen = F.broadcast(usable.withColumn("_r", rank).filter(F.col("_r") <= train_rows))
     texts = docs.select(docs[id_col].alias("_i"), docs[text_col].alias("_t")).filter("_t IS NOT NULL").join(chosen, "_i")
+    most = train_chars // 32
+    spare = F.greatest(F.length("_t") - most, F.lit(0)) + 1
+    place = F.pmod(F.xxhash64("_i", F.lit("place")), spare.cast("long")).cast("int") + 1
+    texts = texts.withColumn("_t", F.when(F.length("_t") > most, F.substring("_t", place, F.lit(most))).otherwise(F.col("_t")))
     whole = Window.partitionBy("_y").orderBy("_r", "_t").rowsBetween(Window.unboundedPreceding, 0)
     fits = F.sum(F.length("_t").cast("long")).over(whole) <= train_chars // 2
     rows = texts.withColumn("_fits", fits).filter("_fits").select("_r", "_y", "_t").collect()
