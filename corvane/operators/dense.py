@@ -1,7 +1,8 @@
 """Exact inner-product search: blocks of queries against all vectors, as matrix products over Arrow batches.
 
-Queries are sent in blocks of at most ``block`` vectors (a few megabytes), one after the other; each partition keeps
-its best ``k`` for a query before the shuffle, so what is shuffled is partitions * queries * k rows.
+Queries are sent in blocks of at most ``block`` vectors (a few megabytes); each partition keeps its best ``k`` for a
+query before the shuffle, so what is shuffled is partitions * queries * k rows. With more than one block, a block's results are
+written to the shared folder before the next block is read, so the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import let
+from corvane.scratch import Scratch
+
+#: Scores that a task holds at once: 16 MB.
+SCORES = 1 << 21
 
 
 def normalize(vector: Column) -> Column:
@@ -45,6 +50,7 @@ def search(corpus: DataFrame, did: str, vector: str, queries: DataFrame, qid: st
     asked = queries.select(F.col(qid).cast("long").alias("qid"), F.col(query_vector).alias("v")).filter("qid IS NOT NULL AND v IS NOT NULL")
     total = asked.count()
     parts = total // block + 1
+    scratch = Scratch(corpus.sparkSession, "dense")
     rows = corpus.select(F.col(did).cast("long").alias("did"), F.col(vector).alias("v")).filter("did IS NOT NULL AND v IS NOT NULL")
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("did", T.LongType()), T.StructField("score", T.DoubleType())])
     found = None
@@ -62,25 +68,31 @@ def search(corpus: DataFrame, did: str, vector: str, queries: DataFrame, qid: st
             for batch in batches:
                 vectors = batch.column("v")
                 fits = np.diff(vectors.offsets.to_numpy()) == width
-                own = batch.column("did").to_numpy()[fits]
+                every = batch.column("did").to_numpy()[fits]
                 values = pa.ListArray.from_arrays(vectors.offsets, vectors.values).filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
-                score = np.round(values.astype(np.float64).reshape(-1, width) @ matrix.T, 6)
-                if skip_self:
-                    score[own[:, None] == ids] = -np.inf
-                if len(own) > k:  # all that reach the k-th best score, ties too
-                    good = score >= np.partition(score, len(own) - k, axis=0)[len(own) - k]
-                else:
-                    good = np.ones(score.shape, bool)
-                row, q = np.nonzero(good & np.isfinite(score))
-                kept.append((ids[q], own[row], score[row, q]))
-                held_rows += len(row)
-                if held_rows > 4 * k * len(ids):
-                    kept, held_rows = [_trim(kept, k)], 0
+                values = values.astype(np.float64).reshape(-1, width)
+                step = max(k + 1, SCORES // len(ids))  # rows whose scores are held at once
+                for at in range(0, len(every), step):
+                    own = every[at : at + step]
+                    score = np.round(values[at : at + step] @ matrix.T, 6)
+                    if skip_self:
+                        score[own[:, None] == ids] = -np.inf
+                    if len(own) > k:  # all that reach the k-th best score, ties too
+                        good = score >= np.partition(score, len(own) - k, axis=0)[len(own) - k]
+                    else:
+                        good = np.ones(score.shape, bool)
+                    row, q = np.nonzero(good & np.isfinite(score))
+                    kept.append((ids[q], own[row], score[row, q]))
+                    held_rows += len(row)
+                    if held_rows > 4 * k * len(ids):
+                        kept, held_rows = [_trim(kept, k)], 0
             if kept:
                 q, d, s = _trim(kept, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["qid", "did", "score"])
 
         here = rows.mapInArrow(best, schema)
+        if parts > 1:
+            here = scratch.table(f"block-{part}", here)
         found = here if found is None else found.union(here)
     if found is None:
         found = rows.limit(0).selectExpr("did AS qid", "did", "CAST(0 AS double) AS score")

@@ -3,8 +3,8 @@
     score(q, d) = sum over q's tokens, as often as they occur, of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes ``epsilon`` times the mean idf of all tokens.
-Only tokens of the queries reach the postings: the corpus is cut to them before its shuffle. Document
-frequencies count each token once a document, combined before the shuffle, so common tokens cost a row a task.
+``fit`` reads and tokenises the corpus once and writes postings and idf to the shared folder; searches read these and join
+the queries' tokens. Token counts are combined before the one shuffle, which carries a row for each document and token.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.scratch import Scratch
 
 #: Below this many bytes, the queries' vocabulary is broadcast.
 SMALL = 8 << 20
@@ -22,29 +23,33 @@ SMALL = 8 << 20
 
 @dataclass(frozen=True)
 class Bm25:
-    """Statistics of a corpus: ``docs`` (did, dl, toks), ``idf`` (tok, df, idf), and two numbers."""
+    """Statistics of a corpus: ``docs`` (did), ``postings`` (did, dl, tok, tf), ``idf`` (tok, df, idf), and two numbers."""
 
     docs: DataFrame
+    postings: DataFrame
     idf: DataFrame
     n: int
     avgdl: float
     k1: float = 1.5
     b: float = 0.75
-
-
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    scratch: Scratch | None = None
 
 
 def fit(corpus: DataFrame, did: str, text: str, tokenize=T.tokens, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25:
-    """Statistics of a corpus. Documents without tokens count in N and in the mean length."""
-    docs = corpus.select(F.col(did).alias("did"), tokenize(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
-    n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    """Statistics of a corpus. Documents without tokens count in N and in the mean length.
+
+    The tables stay until ``scratch`` is dropped or the driver ends; one index serves any number of searches.
+    """
+    scratch = Scratch(corpus.sparkSession, "bm25")
+    docs = corpus.select(F.col(did).alias("did"))
+    toks = corpus.select(F.col(did).alias("did"), tokenize(F.col(text)).alias("toks")).select("did", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
+    postings = scratch.table("postings", toks.groupBy("did", "dl", "tok").agg(F.count("*").alias("tf")))
+    n, total = docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = document_frequencies(docs).withColumn("raw", raw)
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
-    return Bm25(docs, idf, n, total / n if n else 0.0, k1, b)
+    raw = scratch.table("raw", postings.groupBy("tok").agg(F.count("*").alias("df")).withColumn("raw", raw))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    idf = raw.select("tok", "df", F.when(F.col("raw") < 0, F.lit(mean) * epsilon).otherwise(F.col("raw")).alias("idf"))
+    return Bm25(docs, postings, idf, n, total / n if n else 0.0, k1, b, scratch)
 
 
 def query_terms(queries: DataFrame, qid: str, text: str, tokenize=T.tokens) -> DataFrame:
@@ -64,11 +69,9 @@ def scores(index: Bm25, queries: DataFrame, qid: str, text: str, tokenize=T.toke
     small = size_of(asked) < SMALL  # measured on the queries alone, so the corpus isn't read for it
     idf = index.idf.select("tok", "idf").join(F.broadcast(vocabulary) if small else vocabulary, "tok", "left_semi")
     terms = asked.join(idf, "tok")
-    found = index.docs.select("did", "dl", F.explode("toks").alias("tok")).join(F.broadcast(vocabulary) if small else vocabulary, "tok", "left_semi")
-    postings = found.groupBy("did", "dl", "tok").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + index.k1 * (1 - index.b + index.b * F.col("dl") / F.lit(index.avgdl or 1.0))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (index.k1 + 1) / norm
-    joined = postings.join(F.broadcast(terms) if small else terms, "tok")
+    joined = index.postings.join(F.broadcast(terms) if small else terms, "tok")
     return joined.groupBy("qid", "did").agg(F.round(F.sum(part), 6).alias("score"))
 
 

@@ -1,9 +1,12 @@
-"""Relevance by keywords: groups of terms of which any must be complete."""
+"""Relevance by keywords (groups of terms of which any must be complete) and by containment."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.functions import text as T
 
@@ -19,3 +22,33 @@ def graded_relevance(groups: Column, text: Column) -> Column:
     doc = T.norm_graded(text)
     at = F.array_position(F.transform(groups, lambda g: F.forall(g, lambda t: F.contains(doc, T.norm_graded(t)))), F.lit(True))
     return F.when(at == 1, 2).when(at > 1, 1).otherwise(0)
+
+
+def containing(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
+    """(qid, did) of all documents (did, text) that contain an item (qid, text) verbatim.
+
+    An item's words between its first and its last one are whole words of any text that contains it. The first ``words`` of these
+    are its anchor; anchors meet the documents' windows of as many words by hash, and the pairs that meet are held against the texts. Items
+    of one or two words have no such words and are held against every document. Null texts contain nothing and null items nothing.
+    """
+    cut = lambda c: F.split(c, r"[ \t\n\r\f]+")
+    window = lambda w, i, k: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
+    asked = items.select("qid", F.col("text").alias("_item")).filter("_item IS NOT NULL").withColumn("_w", cut(F.col("_item")))
+    asked = asked.withColumn("_k", F.greatest(F.lit(0), F.least(F.lit(words), F.size("_w") - 2)))
+    sizes = {r._k: r.n for r in asked.groupBy("_k").agg(F.count("*").alias("n")).collect()}  # at most words + 1 rows
+    small = sum(sizes.values()) <= 100_000  # some megabytes of anchors
+    anchors = asked.filter("_k > 0").select("qid", "_k", window(F.col("_w"), 2, F.col("_k")).alias("_h"))
+    text = docs.select("did", "text").withColumn("_w", cut(F.col("text")))
+    found = []
+    if lengths := [k for k in sizes if k]:
+        places = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1))), lambda i: F.struct(F.lit(k).alias("_k"), window(F.col("_w"), i, F.lit(k)).alias("_h"))))
+        windows = None
+        for k in lengths:
+            here = text.select("did", F.inline(places(k)))
+            windows = here if windows is None else windows.unionByName(here)
+        met = windows.join(F.broadcast(anchors) if small else anchors, ["_k", "_h"]).select("qid", "did").distinct()
+        found.append(met.join(asked.select("qid", "_item"), "qid").join(docs.select("did", "text"), "did").filter(F.contains("text", F.col("_item"))).select("qid", "did"))
+    if 0 in sizes:
+        found.append(docs.select("did", "text").join(asked.filter("_k = 0").select("qid", "_item"), F.contains("text", F.col("_item"))).select("qid", "did"))
+    out = docs.sparkSession.createDataFrame([], StructType([asked.schema["qid"], docs.schema["did"]]))
+    return reduce(DataFrame.unionByName, found) if found else out

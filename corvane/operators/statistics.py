@@ -15,11 +15,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import stars
+from corvane.scratch import Scratch
 
 
-def numbered(values: DataFrame, value: str, key: str = "qid") -> DataFrame:
-    """(i, v): values numbered from 0 in the order of their key."""
-    return values.select((F.row_number().over(Window.orderBy(key)) - 1).alias("i"), F.col(value).cast("double").alias("v"))
+def numbered(values: DataFrame, value: str, key: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(i, v), numbered from 0 in the order of the key, and how many.
+
+    Values are dealt by ranges of the key and numbered within each range; a range's offset is the size of those before it, a number
+    for each partition. So no task gathers all values.
+    """
+    dealt = values.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).repartitionByRange("k").withColumn("part", F.spark_partition_id())
+    dealt = scratch.table("dealt", dealt)
+    sizes = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())
+    offsets, n = [], 0
+    for part, size in sizes:
+        offsets.append((part, n))
+        n += size
+    at = F.row_number().over(Window.partitionBy("part").orderBy("k")) - 1
+    # a row for each partition
+    before = F.broadcast(values.sparkSession.createDataFrame(offsets, "part int, before long"))
+    return dealt.withColumn("at", at).join(before, "part").select((F.col("at") + F.col("before")).alias("i"), "v"), n
 
 
 def draw(b: Column, i: Column, n: int) -> Column:
@@ -29,8 +44,8 @@ def draw(b: Column, i: Column, n: int) -> Column:
 
 def resampled_means(values: DataFrame, value: str, resamples: int, key: str = "qid") -> DataFrame:
     """(b, m): the mean of each resample. Sums are of whole millionths, so their order doesn't matter."""
-    rows = numbered(values, value, key).withColumn("u", F.round(F.col("v") * 1_000_000).cast("long")).cache()
-    n = rows.count()
+    rows, n = numbered(values, value, key, Scratch(values.sparkSession, "resample"))
+    rows = rows.withColumn("u", F.round(F.col("v") * 1_000_000).cast("long"))
     spark = values.sparkSession
     draws = spark.range(resamples).withColumnRenamed("id", "b").select("b", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))
     drawn = draws.select("b", draw(F.col("b"), F.col("k"), max(n, 1)).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
@@ -54,7 +69,7 @@ def differences(a: DataFrame, b: DataFrame, value: str, key: str = "qid") -> Dat
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, value: str, resamples: int = 10_000, key: str = "qid") -> DataFrame:
     """One row (diff_mean, p_value, ci_lo, ci_hi): p is twice the share of resamples whose mean has the other sign, at most 1."""
-    d = differences(a, b, value, key).cache()
+    d = Scratch(a.sparkSession, "paired").table("differences", differences(a, b, value, key))
     means = resampled_means(d, "d", resamples, key)
     seen = d.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("diff_mean"))
     parts = means.agg(

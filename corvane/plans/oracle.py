@@ -5,7 +5,7 @@ from __future__ import annotations
 from corvane.functions import lexicon as lex
 from corvane.operators.grounding import GROUNDED_PROMPT, PLAIN_PROMPT
 
-from .queries import HEADING, KEYWORDS, MARKERS, SOURCES, STATUTE, SUBJECT
+from .queries import EYEBALL, GOLD, HEADING, KEYWORDS, MARKERS, SOURCES, STATUTE, SUBJECT
 
 
 def _s(text: str) -> str:
@@ -265,12 +265,71 @@ picked AS (SELECT karar_id, query, c[('0x' || substr(md5(karar_id || '|' || quer
 SELECT karar_id, query, length(passage)::INTEGER AS size, md5(passage) AS digest FROM picked"""
 
 
+def fused_of(k: int, top_k: int) -> str:
+    """CTE ``wide``: the fusion of the CTEs dense100 and sparse100, lists of ``k``."""
+    return f"""wide AS (SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, turn)::INTEGER AS rank FROM (
+  SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.did, b.did) AS did, coalesce(a.rank - 1, 1073741824 + b.rank - 1) AS turn, round(coalesce(1e0 / (60 + a.rank), 0e0) + coalesce(1e0 / (60 + b.rank), 0e0), 12) AS score
+  FROM dense{k} a FULL JOIN sparse{k} b ON a.qid = b.qid AND a.did = b.did) QUALIFY rank <= {top_k})"""
+
+
+def bm25_of(queries: str) -> str:
+    """The CTEs of ``bm25`` with other queries than the benchmark's: a CTE (qid, query)."""
+    return bm25().replace(f"SELECT item_id AS qid, unnest({toks('text')}) AS tok FROM benchmark", f"SELECT qid, unnest({toks('query')}) AS tok FROM {queries}")
+
+
+def pairs_table(rows) -> str:
+    return "(VALUES " + ", ".join(f"({_s(q)}, {_s(t)})" for q, t in rows) + ") v(qid, query)"
+
+
+def paired(metric: str, name: str) -> str:
+    """CTE ``name`` (d, p, lo, hi): the paired bootstrap of a metric of ja and jb."""
+    return f"""{name}_v AS MATERIALIZED (SELECT qid, ja.{metric} - jb.{metric} AS v FROM ja JOIN jb USING (qid)), {_renamed(resampled(f"{name}_v"), name)},
+{name} AS (SELECT round(d, 6) AS d, round(least(1e0, 2e0 * CASE WHEN d >= 0 THEN count(*) FILTER (m <= 0) ELSE count(*) FILTER (m >= 0) END / count(*)), 6) AS p,
+  round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM {name}_means, (SELECT avg(v) AS d FROM {name}_v) GROUP BY d)"""
+
+
+def interval(run: str, metric: str, name: str) -> str:
+    """CTE ``name`` (mean, lo, hi): the bootstrap interval of a metric."""
+    return f"""{name}_v AS MATERIALIZED (SELECT qid, {metric} AS v FROM {run}), {_renamed(resampled(f"{name}_v"), name)},
+{name} AS (SELECT round((SELECT avg(v) FROM {name}_v), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM {name}_means)"""
+
+
+def _renamed(ctes: str, name: str) -> str:
+    for cte in ("num", "size", "draws", "means"):
+        ctes = ctes.replace(f"{cte} AS (", f"{name}_{cte} AS (").replace(f"FROM {cte}", f"FROM {name}_{cte}").replace(f"JOIN {cte} ", f"JOIN {name}_{cte} ")
+    return ctes
+
+
+STARS = "CASE WHEN p IS NULL THEN '' WHEN p < 0.001e0 THEN '***' WHEN p < 0.01e0 THEN '**' WHEN p < 0.05e0 THEN '*' ELSE 'ns' END"
+RUN100 = f"{bm25()}, {ranked(100, 'sparse100')}, {item_vectors(100, 'dense100')}, {QRELS}"
+DRESSED = "SELECT r.qid, r.did, r.rank, b.text AS query, d.text, coalesce(q.rel, 0) AS rel FROM {} r JOIN benchmark b ON r.qid = b.item_id JOIN documents d ON r.did = d.doc_id LEFT JOIN qrels q ON r.qid = q.qid AND r.did = q.did"
+
+
+def matrix_of(name: str, run: str) -> str:
+    """CTEs of the plain and the reranked metrics of a run of 100."""
+    again = f"""{name}_s AS (SELECT qid, did, rank AS was, rel, list_distinct({toks('query')}) AS w, {toks('substr(text, 1, 1500)')} AS t FROM {name}_d WHERE rank <= 15),
+{name}_o AS (SELECT qid, did, was, rel, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda z: list_contains(t, z))) / len(w)::DOUBLE ELSE 0e0 END, 6) AS score FROM {name}_s),
+{name}_r AS (SELECT * FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, was, did)::INTEGER AS rank FROM {name}_o) WHERE rank <= 10)"""
+    metrics = lambda source: self_ideal((1, 3, 5, 10)).replace("FROM run)", f"FROM {source})")
+    return f"{name}_d AS ({DRESSED.format(run)}), {name}_p AS (SELECT * FROM {name}_d WHERE rank <= 10), {again}, {name}_mp AS ({metrics(f'{name}_p')}), {name}_mr AS ({metrics(f'{name}_r')})"
+
+
+KEYWORD_NAMES = ("hit_1", "hit_3", "hit_5", "hit_10", "mrr", "ndcg_1", "ndcg_3", "ndcg_5", "ndcg_10")
+GOLD_SPECS = "gold AS MATERIALIZED (SELECT s.qid AS qid, s.query AS query, s.rel AS rel FROM (SELECT unnest([" + ", ".join(f"{{'qid': {_s(q)}, 'query': {_s(t)}, 'rel': [{', '.join(_list(g) for g in r)}]}}" for q, t, r in GOLD) + "], recursive := false) AS s))"
+#: The two-sided tail of Student's distribution for whole degrees of freedom: a finite sum of cosines.
+TAIL = """angle AS (SELECT t, df, atan(abs(t) / sqrt(df)) AS a FROM stat),
+terms AS (SELECT t, df, a, list_reduce(range((df % 2) + 2, df - 1, 2), lambda s, j: {'last': s.last * (j - 1) / j * cos(a) * cos(a), 'all': s.all + s.last * (j - 1) / j * cos(a) * cos(a)},
+  {'last': CASE WHEN df % 2 = 1 THEN cos(a) ELSE 1e0 END, 'all': CASE WHEN df % 2 = 1 THEN cos(a) ELSE 1e0 END}) AS s FROM angle)"""
+
+
 ORACLE_SQL = {
     "training_pairs": training_pairs(),
     "prompts": f"""WITH {CONTEXT} SELECT b.item_id AS qid, md5(replace(replace({_s(GROUNDED_PROMPT)}, '{{question}}', b.text), '{{context}}', coalesce(context, ''))) AS grounded,
   md5(replace({_s(PLAIN_PROMPT)}, '{{question}}', b.text)) AS plain FROM benchmark b LEFT JOIN ctx ON b.item_id = ctx.qid""",
     "tokenize": f"SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS tok FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, {toks('text')} AS t FROM documents))",
-    "df_idf": f"WITH {bm25()} SELECT tok, df, round(idf, 6) AS idf FROM idf",
+    "df_idf": f"""WITH dt AS MATERIALIZED (SELECT list_distinct({toks("text")}) AS t FROM documents), df AS MATERIALIZED (SELECT tok, count(*) AS df FROM (SELECT unnest(t) AS tok FROM dt) GROUP BY tok),
+raw AS MATERIALIZED (SELECT tok, df, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS raw FROM df, (SELECT count(*) AS n FROM dt)), m AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
+SELECT tok, df, round(CASE WHEN raw < 0 THEN 0.25e0 * mean ELSE raw END, 6) AS idf FROM raw, m""",
     "bm25_topk": f"WITH {bm25()}, {ranked(10)} SELECT qid, did, score, rank FROM sparse",
     "bm25_run_padded": f"""WITH {bm25()}, every AS (SELECT q.qid, d.did, coalesce(s.score, 0e0) AS score FROM (SELECT DISTINCT qid FROM qt) q CROSS JOIN dt d LEFT JOIN scored s ON s.qid = q.qid AND s.did = d.did)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INTEGER AS rank FROM every) WHERE rank <= 100""",
@@ -356,4 +415,33 @@ SELECT qid, did, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid
     "mean_pooling": """WITH f AS (SELECT label, (i - 1)::INTEGER AS i, embedding[i]::DOUBLE AS x, CASE WHEN vec_id % 3 = 0 THEN 0e0 ELSE 1e0 END AS m FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
 p AS (SELECT label, i, sum(x * m) / greatest(sum(m), 1e-9) AS v FROM f GROUP BY label, i)
 SELECT label, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS x FROM p""",
+    "paired_t": f"""WITH {BOTH}, vals AS (SELECT ja.mrr_10 - jb.mrr_10 AS v FROM ja JOIN jb USING (qid)), stat AS (SELECT CASE WHEN stddev_samp(v) > 0 THEN avg(v) / (stddev_samp(v) / sqrt(count(*))) END AS t, count(*) - 1 AS df FROM vals), {TAIL}
+SELECT round(t, 6) AS t, df, round(1e0 - CASE WHEN df = 1 THEN a * 2e0 / pi() WHEN df % 2 = 1 THEN (a + sin(a) * s.all) * 2e0 / pi() ELSE sin(a) * s.all END, 6) AS p_value FROM terms""",
+    "comparison_report": f"""WITH {BOTH}, {interval("ja", "mrr_10", "ia")}, {interval("jb", "mrr_10", "ib")}, {paired("mrr_10", "pt")}
+SELECT printf('mrr_10:%s  %-28s %.3f  [%.3f, %.3f]%s  %-28s %.3f  [%.3f, %.3f]%s  Δ = %+.3f  (p=%.4f %s)', chr(10), 'bm25', ia.mean, ia.lo, ia.hi, chr(10), 'dense', ib.mean, ib.lo, ib.hi, chr(10), pt.d, pt.p, {STARS}) AS report FROM ia, ib, pt""",
+    "significance_grid": f"""WITH {BOTH}, {paired("hit_10", "ph")}, {paired("map", "pm")}
+SELECT 'bm25' AS a, 'dense' AS b, metric, d AS diff_mean, p AS p_value, {STARS} AS stars FROM (SELECT 'hit_10' AS metric, d, p FROM ph UNION ALL SELECT 'map', d, p FROM pm)""",
+    "masked_mean_pooling": """WITH f AS (SELECT vec_id // 8 AS text_id, (i - 1)::INTEGER AS i, embedding[i]::DOUBLE AS x, CASE WHEN vec_id % 3 = 0 THEN 0e0 ELSE 1e0 END AS m FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
+p AS (SELECT text_id, i, sum(x * m) / greatest(sum(m), 1e-9) AS v FROM f GROUP BY text_id, i), w AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY text_id)) AS size FROM p)
+SELECT text_id, i, round(CASE WHEN size > 0 THEN v / size ELSE 0e0 END, 6) AS x FROM w""",
+    "chunk_dense_run": f"""WITH {item_vectors(200)}, best AS (SELECT *, did // 4 AS doc, row_number() OVER (PARTITION BY qid, did // 4 ORDER BY rank) AS f FROM dense)
+SELECT qid, doc, did, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank)::INTEGER AS pos FROM best WHERE f = 1) WHERE pos <= 100""",
+    "hybrid_grouped": f"""WITH {fused(1000000)}, best AS (SELECT f.*, doc_id // 4 AS "group", row_number() OVER (PARTITION BY qid, doc_id // 4 ORDER BY pos) AS f FROM fused f LEFT JOIN documents d ON f.did = d.doc_id)
+SELECT qid, did, "group", p AS pos, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos)::INTEGER AS p FROM best WHERE f = 1) WHERE p <= 10""",
+    "near_dup_results": rf"""WITH {RESULTS}, k AS (SELECT qid, did, pos, substr(regexp_replace(lower(substr(coalesce(text, ''), 1, 120)), '[^\p{{L}}\p{{N}}_]', '', 'g'), 1, 80) AS signature FROM results)
+SELECT qid, did, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, signature ORDER BY pos) AS f FROM k) WHERE f = 1""",
+    "config_matrix": f"""WITH {RUN100}, {fused_of(100, 100)}, {matrix_of("b", "sparse100")}, {matrix_of("d", "dense100")}, {matrix_of("h", "wide")}, every AS (SELECT 'bm25' AS config, * FROM b_mp UNION ALL SELECT 'bm25 + rerank', * FROM b_mr
+UNION ALL SELECT 'dense', * FROM d_mp UNION ALL SELECT 'dense + rerank', * FROM d_mr UNION ALL SELECT 'hybrid', * FROM h_mp UNION ALL SELECT 'hybrid + rerank', * FROM h_mr) SELECT config, {mean_of(KEYWORD_NAMES)} FROM every GROUP BY config""",
+    "gold_evaluation": f"""WITH {GOLD_SPECS}, {bm25_of("gold")}, {ranked(10)}, run AS (SELECT r.qid, r.rank, CASE WHEN place = 1 THEN 2 WHEN place > 1 THEN 1 ELSE 0 END AS rel FROM (
+  SELECT sparse.qid, rank, list_position(list_transform(gold.rel, lambda g: len(list_filter(g, lambda t: contains({norm_graded("text")}, {norm_graded("t")}))) = len(g)), true) AS place FROM sparse JOIN gold USING (qid) JOIN documents ON did = doc_id) r),
+per AS ({self_ideal((1, 5, 10))})
+SELECT qid, {", ".join(f"coalesce({c}, 0)::INTEGER AS {c}" for c in ("hit_1", "hit_5", "hit_10"))}, {", ".join(f"coalesce({c}, 0e0) AS {c}" for c in ("mrr", "ndcg_1", "ndcg_5", "ndcg_10"))} FROM gold LEFT JOIN per USING (qid)""",
+    "eyeball": f"""WITH eye AS (SELECT * FROM {pairs_table(EYEBALL)}), {bm25_of("eye")}, {ranked(5)}
+SELECT qid, did, rank, round(score, 4) AS score, '[' || rank || '] ' || coalesce(source, '?') || ' | ' || replace(substr(coalesce(text, ''), 1, 200), chr(10), ' ') || '...' AS line FROM sparse JOIN documents ON did = doc_id""",
+    "beir_round_trip": f"""WITH {candidates()} SELECT s.qid, s.did, 1 AS rel, s.type, s.text, '' AS title, md5({passage_of('x', MARKERS)}) AS digest FROM silver s JOIN (SELECT 'd' || doc_id AS d, coalesce(text, '') AS x FROM documents) ON s.did = d""",
+    "index_round_trip": f"WITH {passages()} SELECT doc_id AS karar_id, chunk_idx, n_chunks, md5(text) AS digest, 64 AS width FROM passages",
+    "results_round_trip": f"WITH {ONE}, m AS (SELECT {mean_of(NAMES)} FROM ja) SELECT 'bm25' AS config, metric, round(value, 3) AS value FROM (UNPIVOT (SELECT hit_1, hit_10, mrr_10, map FROM m) ON hit_1, hit_10, mrr_10, map INTO NAME metric VALUE value)",
+    "comparison_table": f"""WITH {BOTH}, every AS (SELECT 'bm25' AS system, * FROM ja UNION ALL SELECT 'dense', * FROM jb), m AS (SELECT system, {mean_of(("hit_1", "hit_10", "mrr_10"))} FROM every GROUP BY system)
+SELECT printf('%-28s %8.4f %8.4f %8.4f', system, hit_1, hit_10, mrr_10) AS line FROM m""",
+    "winning_examples": f"WITH {BOTH} SELECT ja.qid, b.text AS query FROM ja JOIN jb USING (qid) JOIN benchmark b ON ja.qid = b.item_id WHERE ja.hit_10 > jb.hit_10 ORDER BY ja.qid LIMIT 15",
 }

@@ -13,7 +13,8 @@ from corvane.functions import lexicon as lex
 from corvane.functions import text as T
 from corvane.operators import answers, benchmarking, dense, fusion, grounding, lexical, metrics, negatives, relevance, rerank, statistics
 from corvane.plans import evaluation, index
-from corvane.sources import decisions
+from corvane.scratch import Scratch
+from corvane.sources import decisions, sinks
 
 #: Markers, headings, statutes and keyword groups that suit the driver's texts, which have none of the defaults'.
 MARKERS = ["Licensed", "token", "The ", "La ", "Der "]
@@ -44,8 +45,25 @@ def _passages(spark, folder):
     return made.withColumn("did", F.col("doc_id") * ROW + F.col("chunk_idx"))
 
 
+def _stored(spark, name, df):
+    """The rows of ``df`` from a scratch table, for results that a plan reads more than once."""
+    return Scratch(spark, name).table("rows", df)
+
+
+_indexes: dict[tuple, lexical.Bm25] = {}
+
+
 def _index(spark, folder):
-    return lexical.fit(_docs(spark, folder), "doc_id", "text")
+    """The documents' BM25 statistics, written once for a table and read by every later query of the session.
+
+    A table whose files change is indexed again, and so is one whose statistics were deleted.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, folder, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+    if key not in _indexes or not _indexes[key].scratch.exists():
+        _indexes[key] = lexical.fit(_docs(spark, folder), "doc_id", "text")
+    return _indexes[key]
 
 
 def _bm25(spark, folder, k):
@@ -66,11 +84,10 @@ def _item_vectors(spark, folder, k):
 
 
 def _qrels(spark, folder):
-    """A document is relevant for an item that it contains; the items are few and sent to all tasks in one array."""
-    items = table(spark, folder, "benchmark").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    rows = _docs(spark, folder).select("doc_id", "text").crossJoin(F.broadcast(items))
-    hit = F.explode(F.filter("items", lambda i: F.contains("text", i.text)))
-    return rows.select(hit.alias("i"), "doc_id").select(F.col("i.item_id").alias("qid"), F.col("doc_id").alias("did"), F.lit(1).alias("rel"))
+    """A document is relevant for an item that it contains."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    found = relevance.containing(_docs(spark, folder).select(F.col("doc_id").alias("did"), "text"), items)
+    return _stored(spark, "qrels", found.withColumn("rel", F.lit(1)))
 
 
 def _same_label(spark, folder, k=10):
@@ -120,12 +137,13 @@ def _silver(spark, folder):
     return benchmarking.silver(_decisions(spark, folder), markers=MARKERS, heading=HEADING, subject=SUBJECT)
 
 
-def _judged(spark, folder):
-    return metrics.judged(_bm25(spark, folder, 100), _qrels(spark, folder), table(spark, folder, "benchmark").select(F.col("item_id").alias("qid")))
+def _judged(spark, folder, run=None):
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"))
+    return _stored(spark, "judged", metrics.judged((run or _bm25)(spark, folder, 100), _qrels(spark, folder), queries))
 
 
 def _judged_dense(spark, folder):
-    return metrics.judged(_item_vectors(spark, folder, 100), _qrels(spark, folder), table(spark, folder, "benchmark").select(F.col("item_id").alias("qid")))
+    return _judged(spark, folder, _item_vectors)
 
 
 def _qa(spark, folder):
@@ -463,6 +481,108 @@ def mean_pooling(spark, folder):
     return pooled.select("label", F.posexplode(dense.normalize(F.col("v"))).alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
 
 
+def masked_mean_pooling(spark, folder):
+    """Texts of eight token vectors each, pooled with a mask that leaves out every third vector; a text's vectors are few by nature."""
+    rows = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("text_id"), "vec_id", "embedding", F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0).alias("m"))
+    whole = rows.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "m"))).alias("t"))
+    pooled = dense.masked_mean(F.transform("t", lambda x: x.embedding), F.transform("t", lambda x: x.m))
+    return whole.select("text_id", F.posexplode(pooled).alias("i", "x")).select("text_id", "i", F.round("x", 6).alias("x"))
+
+
+def chunk_dense_run(spark, folder):
+    """Vectors as passages, four a document: the best 200 passages of an item, then the first of each document, at most 100."""
+    found = _item_vectors(spark, folder, 200).withColumnRenamed("rank", "pos").withColumn("doc", F.floor(F.col("did") / 4))
+    return fusion.best_per_group(found, "doc").filter("pos <= 100").select("qid", "doc", "did", "score", "pos")
+
+
+def hybrid_grouped(spark, folder):
+    """The fused run with the best hit of each decision only; four neighbouring documents stand for a decision's passages."""
+    groups = _docs(spark, folder).select(F.col("doc_id").alias("did"), F.floor(F.col("doc_id") / 4).alias("group"))
+    best = fusion.hybrid(_item_vectors(spark, folder, 30), _bm25(spark, folder, 30), 10, groups=groups)
+    return best.select("qid", "did", "group", "pos", F.round("score", 9).alias("score"))
+
+
+def near_dup_results(spark, folder):
+    """Fused results without those whose text starts like a better one's; positions are not renumbered."""
+    kept = fusion.first_of_signature(_results(spark, folder), T.near_key(F.coalesce("text", F.lit(""))), "pos")
+    return kept.select("qid", "did", "pos")
+
+
+def _runs(spark, folder, k):
+    """Runs of the three searches with the item, the text and containment as relevance."""
+    asked, docs = _asked(spark, folder), _docs(spark, folder).select(F.col("doc_id").alias("did"), "text")
+    qrels = _qrels(spark, folder)
+    dressed = lambda run: _stored(spark, "run", run.select("qid", "did", "rank").join(asked, "qid").join(docs, "did").join(qrels, ["qid", "did"], "left").na.fill(0, ["rel"]))
+    fused = _fused(spark, folder, k, k).withColumnRenamed("pos", "rank")
+    return {"bm25": dressed(_bm25(spark, folder, k)), "dense": dressed(_item_vectors(spark, folder, k)), "hybrid": dressed(fused)}
+
+
+def config_matrix(spark, folder):
+    """Each search, plain and reranked, by the means of its keyword metrics; lists of 100."""
+    return metrics.means(evaluation.matrix(_runs(spark, folder, 100)), "config")
+
+
+#: Specifications that suit the driver's texts, beside the fixed ones.
+GOLD = [("e01", "the license of the token", [["licensed under"], ["token"]]), ("e02", "que para con las", [["que", "para"], ["con"]]), *((f"g{i + 1:02d}", q, r) for i, (q, r) in enumerate(lex.GRADED_QUERIES))]
+EYEBALL = [("e01", "the license of the token"), ("e02", "que para con las"), *((f"y{i + 1:02d}", q) for i, (q, _) in enumerate(lex.EYEBALL_QUERIES))]
+
+
+def gold_evaluation(spark, folder):
+    """Graded metrics of the first ten BM25 results of each gold specification; without results, zeros."""
+    specs = spark.createDataFrame(GOLD, "qid string, query string, rel array<array<string>>")
+    found = lexical.search(_index(spark, folder), specs, "qid", "query", 10)
+    return evaluation.graded_evaluation(found.join(_docs(spark, folder).select(F.col("doc_id").alias("did"), "text"), "did"), specs)
+
+
+def eyeball(spark, folder):
+    """The first five BM25 results of each eyeball query as lines."""
+    found = lexical.search(_index(spark, folder), spark.createDataFrame(EYEBALL, "qid string, query string"), "qid", "query", 5)
+    return evaluation.eyeball(found.join(_docs(spark, folder).select(F.col("doc_id").alias("did"), F.col("source").alias("kurul"), "text"), "did"))
+
+
+def beir_round_trip(spark, folder):
+    """The silver benchmark through its files and back."""
+    corpus, queries, qrels = _silver(spark, folder)
+    place = Scratch(spark, "beir")
+    place.table("mark", spark.range(0))
+    sinks.write_beir(corpus, queries, qrels, f"{place.path}/files")
+    corpus, queries, qrels = decisions.read_beir(spark, f"{place.path}/files")
+    rows = qrels.join(queries, "qid").join(corpus.select("did", "title", F.col("text").alias("body")), "did")
+    return rows.select("qid", "did", "rel", "type", "text", "title", F.md5("body").alias("digest"))
+
+
+def index_round_trip(spark, folder):
+    """Passages with vectors through the index's files and back."""
+    place = Scratch(spark, "index")
+    place.table("mark", spark.range(0))
+    made = index.build(_docs(spark, folder).select(F.col("doc_id").alias("karar_id"), "text"))
+    sinks.write_index(made, f"{place.path}/files", 8)
+    read = decisions.read_index(spark, f"{place.path}/files")
+    return read.select("karar_id", "chunk_idx", "n_chunks", F.md5("text").alias("digest"), F.size("embedding").alias("width"))
+
+
+def results_round_trip(spark, folder):
+    """Means of a run through the results file and back, as (config, metric, value) with three places."""
+    place = Scratch(spark, "results")
+    place.table("mark", spark.range(0))
+    means = metrics.means(_judged(spark, folder))
+    agg = F.create_map(*[x for c in ("hit_1", "hit_10", "mrr_10", "map") for x in (F.lit(c), F.col(c).cast("double"))])
+    sinks.write_results(means.select(F.lit("bm25").alias("config"), agg.alias("agg")), f"{place.path}/files")
+    return decisions.read_results(spark, f"{place.path}/files")
+
+
+def comparison_table(spark, folder):
+    """Systems as lines of fixed width."""
+    means = metrics.means(evaluation.suite({"bm25": _bm25(spark, folder, 100), "dense": _item_vectors(spark, folder, 100)}, _qrels(spark, folder)), "system")
+    return sinks.comparison_table(means, "system", ["hit_1", "hit_10", "mrr_10"])
+
+
+def winning_examples(spark, folder):
+    """The first fifteen items that BM25 finds within ten and dense search does not, with their texts."""
+    won = metrics.winners(_judged(spark, folder), _judged_dense(spark, folder), 10, ("bm25", "dense"))
+    return metrics.examples(won, "bm25", _asked(spark, folder), ["query"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -473,6 +593,7 @@ QUERIES = {
         hard_neg_dense, triplets, training_pairs, bootstrap_ci, paired_bootstrap, bootstrap_ci_numpy, paired_t, multi_seed,
         comparison_report, significance_grid, abstain_rrf, abstain_cosine, confidence, result_summary, summary_html, full_text, snippet,
         marked_snippet, answer_cards, markdown_answer, context, prompts, citations, claims, faithfulness, safety_comparison, reranked,
-        index_stats, index_build, query_types, mean_pooling,
+        index_stats, index_build, query_types, mean_pooling, masked_mean_pooling, chunk_dense_run, hybrid_grouped, near_dup_results,
+        config_matrix, gold_evaluation, eyeball, beir_round_trip, index_round_trip, results_round_trip, comparison_table, winning_examples,
     )
 }

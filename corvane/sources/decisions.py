@@ -77,9 +77,10 @@ def from_hub(rows: DataFrame, n: int | None = 3000, least: int = 500, most: int
 
 
 def last_by_id(df: DataFrame, key: str = "_id") -> DataFrame:
-    """Of rows with one id, the last in the file's order."""
+    """Of rows with one id, the last in the files' order: by the file's path, the place of its split, and the row within."""
     row = F.struct(*df.columns)
-    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    numbered = df.select("*", F.struct(*place).alias("_at"))
     return numbered.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, "_at").alias("r")).select("r.*")
 
 
