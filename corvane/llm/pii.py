@@ -7,13 +7,12 @@ and O) depend on word shapes of the token and its two neighbours on both sides,
 trained on a small labelled table, made here from a few dozen marked templates, and decoded by Viterbi over
 padded batches of sequences.
 
-A label other than O needs a trigger (a digit, "@", "dot" or a bracketed "at") within ``REACH`` characters. Sequences are
-the stretches around triggers, cut at white space before the first and after the last trigger; all that lies between
-them is O by definition, in texts of any length.
+Whole texts are decoded, as sequences of some thousand tokens that end where no span can be.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -26,15 +25,14 @@ from .shared import extend
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH = 48
+#: Fixed value: the longest e-mail address; the other kinds are shorter.
+LONGEST = 254
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # A match begins where a run of digits does, as the run is taken whole; looking there only keeps long runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
-_WORDY = re.compile(r"(?<![^\W_])dot(?![^\W_])|[\[(]at[\])]", re.IGNORECASE)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 
 
@@ -150,6 +148,13 @@ w@w w
 room ###-# w
 w # - # - # w
 section ##.##.## w
+w w w at w w , w . W w w w w w w at w w w w . W w w , w w w w w w . W w w at w w w w w w w w w w , w w w w . W w w w w w .
+W at w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w w
+w $$$ w %%% w *** w ### w &&& w $$$ at w w . W *** w , w w $$$ w w w w w w w at w . W w w w w , w w w w
+w w w w w w w w w w w w w w w w [phone (###) ###-####] w w w w w w w w w w w , w w w w w w w w w . W w at w w .
+W w w w w w , w w w at w w w w w w w w w w . W w w w [email w at w dot com] w w w w w w w . W w w w w w w w w w at w w
+w w w w w . W w w w w w w w w w w w w w w w w w w [phone ### ### ####] . W w w w w w w w , w w at w w
+w w w w w w w w w w . w w w w w [card #### / #### / #### / ####] w w w w w w , w w w w w w w at w w w w w w w w w .
 [phone +## ### #######] w
 w [email w@w.com] w
 w [ip ##.##.##.##] w
@@ -183,6 +188,7 @@ def labelled_table(copies: int = 8, seed: int = 11) -> list[tuple[str, list[tupl
 LEXICON = frozenset("at dot com org net phone tel telephone call mobile fax email mail contact card visa number ip host server address version pages isbn invoice id chapter section token".split())
 
 
+@functools.lru_cache(maxsize=200_000)
 def shape(token: str, spaced: bool) -> str:
     """Word shape: digits by count, punctuation by itself, words by case and length; a leading blank marks white space before."""
     if token[0].isdigit() and token[0] <= "9":
@@ -264,77 +270,94 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(table: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 150, rate: float = 0.2, decay: float = 2e-3) -> CRF:
-    """Maximum likelihood with forward and backward sums over the whole table at once, by Adam."""
-    sequences = [tokens_of(t) for t, _ in table]
-    crf = CRF({s: i + 2 for i, s in enumerate(sorted({x for q in sequences for _, _, x in q}))})
-    codes, lengths = crf.encode(sequences)
+def _gaps(crf: CRF, codes: np.ndarray, lengths: np.ndarray, gold: np.ndarray) -> list[np.ndarray]:
+    """Observed less expected counts of all features, by forward and backward sums over a padded batch."""
     n, length, _ = codes.shape
-    gold = np.zeros((n, length), np.int64)
-    for k, (q, (_, spans)) in enumerate(zip(sequences, table, strict=True)):
-        for s, e, kind in spans:
-            inside = [t for t, (a, b, _) in enumerate(q) if s <= a and b <= e]
-            gold[k, inside] = 2 + 2 * kind
-            gold[k, inside[0]] = 1 + 2 * kind
     size = len(LABELS)
     mask = np.arange(length) < lengths[:, None]
     one = np.eye(size)[gold] * mask[:, :, None]
-    gold_move = sum(one[:, t - 1].T @ one[:, t] for t in range(1, length))
+    move_gap = sum(one[:, t - 1].T @ one[:, t] for t in range(1, length))
+    score, move = crf.scores(codes), crf.move + crf.barred
+    ahead, behind = np.zeros((length, n, size)), np.zeros((length, n, size))
+    ahead[0] = score[:, 0] + crf.starts()
+    for t in range(1, length):
+        ahead[t] = np.where(mask[:, t, None], _log_sum(ahead[t - 1][:, :, None] + move, 1) + score[:, t], ahead[t - 1])
+    whole = _log_sum(ahead[-1], 1)
+    for t in range(length - 1, 0, -1):
+        tail = score[:, t] + behind[t]
+        both = np.exp(ahead[t - 1][:, :, None] + move + tail[:, None, :] - whole[:, None, None]) * mask[:, t, None, None]
+        move_gap = move_gap - both.sum(0)
+        behind[t - 1] = np.where(mask[:, t, None], _log_sum(move + tail[:, None, :], 2), 0.0)
+    p = np.exp(ahead.transpose(1, 0, 2) + behind.transpose(1, 0, 2) - whole[:, None, None]) * mask[:, :, None]
+    gap = (one - p).reshape(-1, size)
+    emit = np.zeros_like(crf.emit)
+    for k in range(len(OFFSETS)):
+        np.add.at(emit[k], codes[:, :, k].ravel(), gap)
+    return [emit, move_gap, (one - p)[:, 0].sum(0)]
+
+
+def train(table: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 150, rate: float = 0.2, decay: float = 2e-3) -> CRF:
+    """Maximum likelihood over the whole table at once, by Adam. Short and long sequences are padded apart."""
+    rows = sorted(((tokens_of(t), spans) for t, spans in table), key=lambda x: len(x[0]))
+    crf = CRF({s: i + 2 for i, s in enumerate(sorted({x for q, _ in rows for _, _, x in q}))})
+    batches = []
+    for part in ([r for r in rows if len(r[0]) <= 24], [r for r in rows if len(r[0]) > 24]):
+        if part:
+            codes, lengths = crf.encode([q for q, _ in part])
+            gold = np.zeros(codes.shape[:2], np.int64)
+            for k, (q, spans) in enumerate(part):
+                for s, e, kind in spans:
+                    inside = [t for t, (a, b, _) in enumerate(q) if s <= a and b <= e]
+                    gold[k, inside] = 2 + 2 * kind
+                    gold[k, inside[0]] = 1 + 2 * kind
+            batches.append((codes, lengths, gold))
     params = [crf.emit, crf.move, crf.first]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, rounds + 1):
-        score, move = crf.scores(codes), crf.move + crf.barred
-        ahead, behind = np.zeros((length, n, size)), np.zeros((length, n, size))
-        ahead[0] = score[:, 0] + crf.starts()
-        for t in range(1, length):
-            ahead[t] = np.where(mask[:, t, None], _log_sum(ahead[t - 1][:, :, None] + move, 1) + score[:, t], ahead[t - 1])
-        whole = _log_sum(ahead[-1], 1)
-        expect_move = np.zeros((size, size))
-        for t in range(length - 1, 0, -1):
-            tail = score[:, t] + behind[t]
-            both = np.exp(ahead[t - 1][:, :, None] + move + tail[:, None, :] - whole[:, None, None]) * mask[:, t, None, None]
-            expect_move += both.sum(0)
-            behind[t - 1] = np.where(mask[:, t, None], _log_sum(move + tail[:, None, :], 2), 0.0)
-        p = np.exp(ahead.transpose(1, 0, 2) + behind.transpose(1, 0, 2) - whole[:, None, None]) * mask[:, :, None]
-        gap = (one - p).reshape(-1, size)
-        emit = np.zeros_like(crf.emit)
-        for k in range(len(OFFSETS)):
-            np.add.at(emit[k], codes[:, :, k].ravel(), gap)
-        for x, g, (m, v) in zip(params, [emit, gold_move - expect_move, (one - p)[:, 0].sum(0)], state, strict=True):
-            g = g / n - decay * x
+        every = [_gaps(crf, *batch) for batch in batches]
+        for x, g, (m, v) in zip(params, [sum(part) for part in zip(*every, strict=True)], state, strict=True):
+            g = g / len(rows) - decay * x
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return crf
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers, cut at white space before the first and after the last trigger."""
-    marks = [m.span() for m in _TRIGGER.finditer(text)]
-    low = text.lower() if len(text.lower()) == len(text) else text
-    if "dot" in low or "at)" in low or "at]" in low:
-        marks = sorted(marks + [m.span() for m in _WORDY.finditer(text)])
-    out: list[list[int]] = []
-    for first, last in marks:
-        s, e = max(0, first - REACH), min(len(text), last + REACH)
-        if out and s <= out[-1][1]:
-            out[-1][1], out[-1][3] = max(e, out[-1][1]), max(last, out[-1][3])
-        else:
-            out.append([s, e, first, last])
-    for x in out:  # to the next white space inwards that lies outside the triggers, unless there is none or the text ends there
-        if x[0] > 0 and (m := _BLANK.search(text, x[0], x[2])):
-            x[0] = m.start()
-        if x[1] < len(text) and (k := max(text.rfind(" ", x[3], x[1]), text.rfind("\n", x[3], x[1]))) >= 0:
-            x[1] = k
-    return [(a, b) for a, b, *_ in out]
+@functools.cache
+def default_model() -> CRF:
+    """The random field of the built-in labelled table, trained once in a process."""
+    return train(labelled_table())
+
+
+def sequences(tokens: list[tuple[int, int, str]], size: int = 2000, clear: int = 10) -> list[list[tuple[int, int, str]]]:
+    """The tokens of a text as sequences of ``size`` to twice as many, so that a batch stays small whatever a text's length.
+
+    A sequence ends where neither the ``clear`` tokens before nor those after could be part of a span (no digit, "@", "at", "dot" or
+    bracket); only text with no such place in ``size`` tokens is cut at twice the size.
+    """
+    out, start = [], 0
+    while len(tokens) - start > 2 * size:
+        seen, cut = 0, start + 2 * size
+        for i in range(start + size - clear, start + 2 * size):
+            seen = 0 if _marks_span(tokens[i][2]) else seen + 1
+            if seen == 2 * clear:
+                cut = i + 1 - clear
+                break
+        out.append(tokens[start:cut])
+        start = cut
+    return [*out, tokens[start:]] if start < len(tokens) else out
 
 
-_BLANK = re.compile(r"\s")
+def _marks_span(form: str) -> bool:
+    form = form.lstrip()
+    return form.startswith("9x") or form in ("@", "at", "dot", "(", "[", ")", "]")
 
 
 def plausible(text: str, kind: int) -> bool:
-    """Whether the digits of an added span suit its kind."""
+    """Whether the length and the digits of an added span suit its kind."""
     d = digits_of(text)
+    if len(text) > LONGEST:
+        return False
     if kind == 0:
         return not re.search(r"[0-9]{9}|[.,;:!?]\s", text) and bool(re.search(r"(?i)\bat\b.*(\bdot\b|\.)", text))
     if kind == 1:
@@ -350,9 +373,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], crf: C
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     work = []
     for k, text in enumerate(texts):
-        for a, b in stretches(text):
-            if q := tokens_of(text[a:b]):
-                work.append((len(q), k, a, q))
+        work += [(len(q), k, q) for q in sequences(tokens_of(text))]
     work.sort(key=lambda x: x[0])
     at = 0
     while at < len(work):
@@ -361,7 +382,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], crf: C
         at += len(part)
         labels = crf.viterbi(*crf.encode([q for *_, q in part]))
         for row in np.flatnonzero(labels.any(1)).tolist():
-            _, k, a, q = part[row]
+            _, k, q = part[row]
             opened = None
             for t, (s, e, _) in enumerate([*q, (0, 0, "")]):
                 name = LABELS[labels[row, t]] if t < len(q) else "O"
@@ -371,9 +392,9 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], crf: C
                         out[k].append(opened)
                     opened = None
                 if name[0] == "B":
-                    opened = (a + s, a + e, KINDS.index(name[2:]))
+                    opened = (s, e, KINDS.index(name[2:]))
                 elif name[0] == "I" and opened:
-                    opened = (opened[0], a + e, opened[2])
+                    opened = (opened[0], e, opened[2])
     return out
 
 
@@ -382,10 +403,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     The counts and base_sha256 are of the base patterns' spans, as kind:start:end in code points with the
     end exclusive, by start and then kind, comma-joined; spans has all spans in that form. A null text
-    counts as empty. Repeated rows are rows of their own; an empty table gives an empty result.
+    counts as empty. Repeated rows are rows of their own; an empty table gives an empty result. Other columns are not
+    read but for those of ``keep``, which may have any name that the result's own columns don't have.
     """
-    model = crf or train(labelled_table())
-    df = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), *[docs[c] for c in keep])
+    model = crf or default_model()
+    df = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), *[docs[c].alias(f"_keep_{k}") for k, c in enumerate(keep)])
 
     def start():
         def joined(spans):
@@ -401,4 +423,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
         return make
 
-    return extend(df, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", start).withColumnRenamed("_id", id_col)
+    new = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    found = extend(df, new, start)
+    return found.select(F.col("_id").alias(id_col), *[x.split()[0] for x in new.split(", ")], *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])

@@ -1,51 +1,19 @@
-"""Scratch tables in the folder that driver and executors share.
-
-The folder is the session's ``spark.checkpoint.dir``; only where it is unset (tests, a laptop) a
-temporary folder is made and set. A table is written once and read back, which cuts the lineage: when
-an executor is lost, later stages read the committed files again.
-"""
+"""What the operators of this package share: scratch tables, Arrow passes, and small samples by hash."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corvane.scratch import Scratch, release, released, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables of one run of an operator, in a folder of their own below the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return a DataFrame that reads the written files."""
-        path = f"{self.path}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        """Delete a table, or the whole folder, once nothing reads it any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "documents", "extend", "release", "released", "shared_dir", "smallest_hashes"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -66,12 +34,8 @@ def extend(df: DataFrame, new: str, start, drop: tuple[str, ...] = ("_text",), s
 
     ``start()`` runs once in each task and returns the function of an Arrow batch that gives the new
     columns' values. It gets slices of about ``slice_bytes``, so that Python's copies of the values stay small. Kept
-    columns pass through as Arrow arrays, so ids with nulls stay integers. If the session leaves Spark's limit of 64 MB
-    for an Arrow batch as it is, it is lowered to 16 MB: executors hold several batches at once beside their heap.
+    columns pass through as Arrow arrays, so ids with nulls stay integers.
     """
-    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(limit, "64MB") in ("64MB", "67108864", "67108864b"):
-        df.sparkSession.conf.set(limit, "16777216b")
     added = T._parse_datatype_string(new)
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = T.StructType(kept + added.fields)
@@ -89,3 +53,27 @@ def extend(df: DataFrame, new: str, start, drop: tuple[str, ...] = ("_text",), s
         _give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def smallest_hashes(ids: DataFrame, label: str, size: int) -> DataFrame:
+    """Of ``ids`` (_i and ``label``), the distinct ids with the ``size`` smallest hashes of each label, and _r, their rank.
+
+    The labels are few; they are counted first. Hashes are even, so a bound on the hash that lets through about twice ``size``
+    ids of a label leaves a set that doesn't grow with the table; only that is shuffled and ranked. Where ids
+    repeat so much that fewer are left, the bound is raised until there are enough or all are in. Null ids are left out.
+    """
+    rows = ids.select("_i", label).filter("_i IS NOT NULL")
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
+    raised = dict.fromkeys(counts, 1.0)
+    while True:
+        share = {y: min(1.0, raised[y] * (2 * size + 64) / n) for y, n in counts.items()}
+        bound = F.create_map(*[F.lit(x) for y, s in (share or {"": 1.0}).items() for x in (y, min(2**63 - 1, int(s * 2**64) - 2**63))])
+        few = rows.filter(F.xxhash64("_i") <= F.element_at(bound, F.col(label))).distinct()
+        got = {r[0]: r[1] for r in few.groupBy(label).agg(F.count("*")).collect()}
+        short = [y for y in counts if share[y] < 1 and got.get(y, 0) < size]
+        if not short:
+            break
+        for y in short:
+            raised[y] *= 8
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("_i"), "_i"))
+    return few.withColumn("_r", rank).filter(F.col("_r") <= size)

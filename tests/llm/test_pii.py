@@ -44,7 +44,7 @@ def test_base(text):
 
 @pytest.fixture(scope="module")
 def model():
-    return pii.train(pii.labelled_table())
+    return pii.default_model()
 
 
 def test_field_on_held_out_rows(model):
