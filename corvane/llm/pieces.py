@@ -2,15 +2,16 @@
 
 A piece of the vocabulary never holds a whitespace marker after another character, and merges are local,
 so a text can be cut before each run of markers and each chunk segmented by itself. ``cuts_at_markers``
-checks that of a model; other models are refused. Each task keeps a table of the distinct chunks it
-has met (ids as text, decoded text), segments a chunk only when it is new, and joins the entries by
-position. The table is emptied when it grows beyond ``table_chunks``, so memory stays bounded; a global
-table would grow with the corpus and need a shuffle of every word.
+checks that of a model; other models are refused. The texts of an Arrow slice become one list of chunks; its
+distinct chunks are looked up in the table, those it lacks are segmented, once, and the entries (ids as decimal text, decoded
+text) join back by position. A worker process keeps its table for all its tasks. A table that would grow beyond ``table_chunks`` begins
+anew with the slice's own chunks, so memory stays bounded; a table of the whole corpus would grow with it and need a shuffle of every word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -40,32 +41,49 @@ def cuts_at_markers(sp) -> bool:
 
 
 class Chunks:
-    """Entries of chunks: ids as decimal text, and the decoded text with its leading space."""
+    """The table of distinct chunks: for each, the ids as decimal text and the decoded text with its leading space."""
 
     def __init__(self, model: bytes, table_chunks: int):
         self.sp, self.most = processor(model), table_chunks
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.entries: dict[str, tuple[str, str]] = {}
+        self.segmented = 0
 
-    def add(self, chunks: list[str]) -> None:
+    def add(self, chunks: set[str]) -> None:
         """Segment the chunks that the table lacks. A chunk begins with at least one marker, which the library adds."""
-        new = [c for c in set(chunks) if c not in self.ids]
-        if MARK in new:  # the library adds no marker to an empty text
+        new = [c for c in chunks if c not in self.entries]
+        if len(self.entries) + len(new) > self.most:
+            self.entries.clear()
+            new = list(chunks)
+        self.segmented += len(new)
+        if MARK in chunks and MARK not in self.entries:  # the library adds no marker to an empty text
             new.remove(MARK)
-            self.ids[MARK], self.text[MARK] = str(self.sp.piece_to_id(MARK)), " "
-        for chunk, ids in zip(new, self.sp.encode([c[1:] for c in new], num_threads=1), strict=True):
-            self.ids[chunk] = " ".join(map(str, ids))
-            self.text[chunk] = " " + self.sp.decode(ids)
-
-    def encode(self, text: str) -> tuple[str, str]:
-        """The ids of a text as decimal text without the end id, and its decoded text."""
-        if not text:
-            return "", ""
-        if len(self.ids) > self.most:
-            self.ids.clear(), self.text.clear()
-        chunks = _RUNS.findall(MARK + text.replace(" ", MARK))
-        self.add(chunks)
-        return " ".join(map(self.ids.__getitem__, chunks)), "".join(map(self.text.__getitem__, chunks))[1:]
+            self.entries[MARK] = str(self.sp.piece_to_id(MARK)), " "
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for chunk, ids in zip(part, self.sp.encode([c[1:] for c in part], num_threads=1), strict=True):
+                self.entries[chunk] = " ".join(map(str, ids)), " " + self.sp.decode(ids)
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
+        """For each text, its ids as decimal text without the end id, and its decoded text."""
+        chunks = [_RUNS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.add(set(itertools.chain.from_iterable(chunks)))
+        at = self.entries.__getitem__
+        out = []
+        for part in chunks:
+            found = list(map(at, part))
+            out.append((" ".join([ids for ids, _ in found]), "".join([text for _, text in found])[1:]))
+        return out
+
+
+_tables: dict[tuple[str, int], Chunks] = {}
+
+
+def table_of(model: bytes, table_chunks: int) -> Chunks:
+    """The process's table for a model."""
+    key = hashlib.sha256(model).hexdigest(), table_chunks
+    if key not in _tables:
+        _tables[key] = Chunks(model, table_chunks)
+    return _tables[key]
 
 
 def encode_documents(
@@ -75,7 +93,8 @@ def encode_documents(
 
     Ids end with the model's end id. A null text counts as empty and has that id only. With
     ``with_ids`` the result also has ids (array<int>) and decoded (the decoded text). Repeated rows and
-    null ids pass through. The model's file is read on the driver and its bytes (half a megabyte for the
+    null ids pass through; an empty table gives an empty result. Other columns are not read but for those of ``keep``, which may have
+    any name that the result's own columns don't have. The model's file is read on the driver and its bytes (half a megabyte for the
     32k vocabulary) go to the tasks with the function.
     """
     with open(model_path, "rb") as file:
@@ -83,14 +102,14 @@ def encode_documents(
     if not cuts_at_markers(processor(model)):
         raise ValueError("pieces of this model can cross whitespace markers")
     end = str(processor(model).eos_id())
-    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), *[docs[c] for c in keep])
+    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), *[docs[c].alias(f"_keep_{k}") for k, c in enumerate(keep)])
 
     def start():
-        table = Chunks(model, table_chunks)
+        table = table_of(model, table_chunks)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
         def make(batch):
-            both = [table.encode(t) for t in batch["_text"].to_pylist()]
+            both = table.encode(batch["_text"].to_pylist())
             ids = [f"{a} {end}" if a else end for a, _ in both]
             out = [[x.count(" ") + 1 for x in ids], [sha(x) for x in ids], [sha(b) for _, b in both]]
             return out + ([[[int(i) for i in x.split(" ")] for x in ids], [b for _, b in both]] if with_ids else [])
@@ -98,4 +117,5 @@ def encode_documents(
         return make
 
     new = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return extend(rows, new, start).withColumnRenamed("_id", id_col)
+    found = extend(rows, new, start)
+    return found.select(F.col("_id").alias(id_col), *[x.split()[0] for x in new.split(", ")], *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])

@@ -97,7 +97,7 @@ def test_chunks_equal_library(text):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     text = text.encode("utf-8", "ignore").decode()
     with open(MODEL, "rb") as f:
-        ids, decoded = pieces.Chunks(f.read(), 3).encode(text)
+        ids, decoded = pieces.Chunks(f.read(), 3).encode([text])[0]
     want = sp.encode(text)
     assert ids == " ".join(map(str, want)) and decoded == sp.decode(want)
 
@@ -147,3 +147,24 @@ def test_oracles(spark):
         df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
         cols = sorted(df.columns)
         assert Counter(map(tuple, df.select(cols).collect())) == Counter(con.sql(f"SELECT {', '.join(cols)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall())
+
+
+def test_chunk_table():
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    texts = ["the cat  the dog", "", "the cat", "a  b  the"]
+    table = pieces.Chunks(model, 100)
+    first = table.encode(texts)
+    assert table.segmented == len({"▁the", "▁cat", "▁▁the", "▁dog", "▁a", "▁▁b"})
+    assert table.encode(texts) == first and table.segmented == 6  # nothing is segmented twice
+    small = pieces.Chunks(model, 2)
+    assert small.encode(texts) == first and small.encode(texts[2:]) == first[2:]
+    assert pieces.table_of(model, 7) is pieces.table_of(model, 7)
+
+
+def test_pieces_keep_any_column(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", "y")], "doc_id long, text string, n_tokens long, _text string, _id string")
+    row = pieces.encode_documents(df, MODEL, keep=("_text", "_id")).first()
+    assert (row.doc_id, row._text, row._id) == (1, "x", "y") and row.n_tokens > 1
+    assert pieces.encode_documents(df.withColumnRenamed("n_tokens", "ids"), MODEL, keep=("ids",)).first().ids == 7
+    assert pieces.encode_documents(df.limit(0), MODEL).count() == 0
