@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corvane.llm import exact_dedup, language, pieces, sharding
+from corvane.llm.shared import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, `_h` string, shard int"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -30,10 +31,11 @@ def small(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_exact_dedup_odd(spark, odd, bits):
-    """Three hash bits make chains of different texts; results stay exact."""
-    got = exact_dedup.exact_dedup(odd, bucket_keys=2, max_depth=4, hash_bits=bits).collect()
+@pytest.mark.parametrize(("bits", "page_bits", "many"), [(64, 14, 64), (3, 14, 64), (64, 1, 1), (3, 2, 1)])
+def test_exact_dedup_odd(spark, odd, bits, page_bits, many, monkeypatch):
+    """Three hash bits make chains of different texts, few page bits make pages double; results stay exact."""
+    monkeypatch.setattr(exact_dedup, "PAGE_BITS", page_bits)
+    got = exact_dedup.exact_dedup(odd, bucket_keys=2, hash_bits=bits, many=many).collect()
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
     want = []
     for i, t in rows:
@@ -44,21 +46,34 @@ def test_exact_dedup_odd(spark, odd, bits):
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
 
-def test_directory_doubles(spark):
+@pytest.mark.parametrize("page_bits", [8, 2])
+def test_directory_doubles(spark, page_bits, monkeypatch):
+    """No bucket is overfull at any depth, and none is split without need, beyond what its page needs."""
+    monkeypatch.setattr(exact_dedup, "PAGE_BITS", page_bits)
     keys = spark.range(2000).selectExpr("xxhash64(id) AS _h").distinct()
-    found = exact_dedup.directory(keys, bucket_keys=100, max_depth=8).cache()
-    sizes = Counter()
-    cell = {r._cell: r._bucket for r in found.collect()}
-    for r in keys.selectExpr("shiftrightunsigned(_h, 56) AS c").collect():
-        sizes[cell[r.c]] += 1
+    depth = {r._page: r._depth for r in exact_dedup.directory(keys, 100, Scratch(spark, "directory")).collect()}
+    hashes = [r._h % 2**64 for r in keys.collect()]
+    sizes = Counter((d, h >> (64 - d)) for h in hashes for d in [depth[h >> (64 - page_bits)]])
     assert max(sizes.values()) <= 100 and len(sizes) > 16
-    for name in sizes:  # a bucket's buddies together were overfull
-        depth, prefix = map(int, name.split("/"))
-        assert sum(n for c, n in Counter(keys_cells(keys)).items() if c >> (8 - depth + 1) == prefix >> 1) > 100
+    for page, d in depth.items():
+        if d > page_bits:  # one bit less would not do
+            assert max(Counter(h >> (65 - d) for h in hashes if h >> (64 - page_bits) == page).values()) > 100
+        else:
+            assert sum(h >> (65 - d) == page >> (page_bits - d + 1) for h in hashes) > 100
 
 
-def keys_cells(keys):
-    return [r.c for r in keys.selectExpr("shiftrightunsigned(_h, 56) AS c").collect()]
+def test_wrong_directory_breaks(spark, odd, monkeypatch):
+    """Texts and slots meet through the directory: without a page, its rows are lost."""
+    right = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: right(*a).orderBy("_page").offset(1))
+    assert exact_dedup.exact_dedup(odd).count() < odd.count()
+
+
+def test_texts_are_shuffled_once(spark, small):
+    """Of the exchanges of a run, one holds the texts; the others hold keys."""
+    folder = exact_dedup.exact_dedup(small)
+    plan = folder._jdf.queryExecution().executedPlan().toString()
+    assert "_text" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
 def jump(key, n):
