@@ -5,12 +5,11 @@ Each row has up to four kinds of evidence, taken as independent given the langua
 * its text: a naive Bayes likelihood over hashed character trigrams of words, whose sum over the text is
   tempered, as neighbouring trigrams aren't independent;
 * the language that its markup declares, through a confusion table P(declared | language);
-* the suffix of its address, through P(suffix | language);
-* its host, as a prior: the host's language shares shrunk towards its suffix's, and those towards the whole
-  table's. A row's own text is left out of its host's counts.
+* the suffix of its address and its host, as a prior: the host's language shares shrunk towards its suffix's, and those towards the
+  whole table's. A row's own text is left out of these counts.
 
 The tables are grouped sums of text posteriors over all rows. Only the trigram model is fitted on a bounded
-sample: ``train_rows`` labelled rows a language, the ones with the smallest hash of their id.
+sample: ``train_rows`` labelled rows a language, the ones with the smallest hash of their id; a third of the ids is held out of it.
 """
 
 from __future__ import annotations
@@ -18,15 +17,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean_html
 
-from .shared import Scratch, extend
+from .shared import Scratch, extend, passage, smallest_hashes
 from .url_filter import host_of
 
 BUCKETS = 1 << 16
+#: Evidence tables of up to so many values are broadcast.
+SMALL, SALTS = 100_000, 16
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -77,21 +78,34 @@ class TextScorer:
         return (total / len(at) * len(at) ** self.tempering).tolist()
 
 
+#: A text of the training sample is at most this long; of longer ones a passage is taken.
+SAMPLE_CHARS = 200_000
+
+
 def sample(labelled: DataFrame, languages: list[str], train_rows: int) -> list[tuple[str, str]]:
     """(text, language) of at most ``train_rows`` rows a language from columns _id, _text and _label, by the hash of the id.
 
-    Each task keeps the smallest hashes of its rows before the shuffle, so no task gathers a language.
+    Ids are chosen without their texts, then the texts of the chosen are read; of texts that share an id and a label, the
+    first. Rows without an id or a text are left out.
     """
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_text"))
-    usable = labelled.filter(F.col("_label").isin(languages) & (F.length("_text") > 0))
-    return [(r._text, r._label) for r in usable.withColumn("_rank", rank).filter(F.col("_rank") <= train_rows).select("_text", "_label").collect()]
+    ids = labelled.select(F.col("_id").alias("_i"), "_label").filter(F.col("_label").isin(languages))
+    # train_rows ids a language at most
+    chosen = F.broadcast(smallest_hashes(ids, "_label", train_rows).select(F.col("_i").alias("_id"), "_label"))
+    rows = labelled.filter(F.length("_text") > 0).join(chosen, ["_id", "_label"]).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    return sorted((r._text, r._label) for r in rows.select(passage("_text", "_id", SAMPLE_CHARS).alias("_text"), "_label").collect())
+
+
+def is_held_out(id_col: Column) -> Column:
+    """Whether an id's row is kept from training, so that accuracy can be measured on it: crc32 of the id as text modulo 3 is 1."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def fit(rows: DataFrame, id_col: str, text_col: str, label: str | None, languages: tuple[str, ...] = ("de", "en", "es", "fr"), train_rows: int = 300) -> np.ndarray:
-    """What ``train`` gives for the sample of rows that ``label`` marks."""
+    """What ``train`` gives for the sample of rows that ``label`` marks and that aren't held out."""
     languages = sorted(languages)
     marked = F.lit(None).cast("string") if label is None else rows[label].cast("string")
-    return train(sample(rows.select(rows[id_col].alias("_id"), F.coalesce(rows[text_col], F.lit("")).alias("_text"), marked.alias("_label")), languages, train_rows), languages)
+    rows = rows.select(rows[id_col].alias("_id"), F.coalesce(rows[text_col], F.lit("")).alias("_text"), marked.alias("_label")).filter(~is_held_out(F.col("_id")))
+    return train(sample(rows, languages, train_rows), languages)
 
 
 def markup_language(html: Column) -> Column:
@@ -144,6 +158,7 @@ def identify(
     gives no evidence; its text_lang is null, and its lang_id comes from the rest. kept is true where the
     text has words and confidence, the posterior of lang_id, is at least ``min_confidence``; ties of
     languages fall to the first by name. Repeated rows are rows of their own. An empty table gives an empty result.
+    Other columns are not read but for those of ``keep``, whose names may be any that the result's own columns don't have.
     """
     languages = sorted(languages)
     k = len(languages)
@@ -170,8 +185,13 @@ def identify(
     joined = scored
     for c in ("_declared", "_suffix", "_host"):
         table = scratch.table(c, scored.filter(F.col(c).isNotNull()).groupBy(c).agg(F.array(*sums).alias(f"{c}_sums")))
-        # up to 100,000 values (some ten megabytes) are broadcast, so that the rows stay where they are
-        joined = joined.join(F.broadcast(table) if table.count() <= 100_000 else table, c, "left")
+        if table.count() <= SMALL:  # some ten megabytes are broadcast, so that the rows stay where they are
+            joined = joined.join(F.broadcast(table), c, "left")
+        else:  # rows without a value stay out of the join, and a frequent value's rows are dealt over ``SALTS`` tasks
+            salted = joined.filter(F.col(c).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("_id", "_ll"), F.lit(SALTS)))
+            copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            met = salted.join(copies, [c, "_salt"], "left").drop("_salt")
+            joined = met.unionByName(joined.filter(F.col(c).isNull()), allowMissingColumns=True)
     zeros = array([0] * k)
     own = lambda c: F.coalesce(F.zip_with(c, "_p", lambda s, p: F.greatest(s - p, F.lit(0.0))), zeros)
     size = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)

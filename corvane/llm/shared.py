@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.scratch import Scratch, release, released, shared_dir
 
-__all__ = ["Scratch", "documents", "extend", "release", "released", "shared_dir", "smallest_hashes"]
+__all__ = ["Scratch", "documents", "extend", "passage", "release", "released", "shared_dir", "smallest_hashes"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -64,10 +64,12 @@ def smallest_hashes(ids: DataFrame, label: str, size: int) -> DataFrame:
     """
     rows = ids.select("_i", label).filter("_i IS NOT NULL")
     counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
+    if not counts:
+        return rows.limit(0).withColumn("_r", F.lit(0))
     raised = dict.fromkeys(counts, 1.0)
     while True:
         share = {y: min(1.0, raised[y] * (2 * size + 64) / n) for y, n in counts.items()}
-        bound = F.create_map(*[F.lit(x) for y, s in (share or {"": 1.0}).items() for x in (y, min(2**63 - 1, int(s * 2**64) - 2**63))])
+        bound = F.create_map(*[F.lit(x) for y, s in share.items() for x in (y, min(2**63 - 1, int(s * 2**64) - 2**63))])
         few = rows.filter(F.xxhash64("_i") <= F.element_at(bound, F.col(label))).distinct()
         got = {r[0]: r[1] for r in few.groupBy(label).agg(F.count("*")).collect()}
         short = [y for y in counts if share[y] < 1 and got.get(y, 0) < size]
@@ -77,3 +79,10 @@ def smallest_hashes(ids: DataFrame, label: str, size: int) -> DataFrame:
             raised[y] *= 8
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("_i"), "_i"))
     return few.withColumn("_r", rank).filter(F.col("_r") <= size)
+
+
+def passage(text: str, key: str, most: int):
+    """A text of at most ``most`` characters as it is; of a longer one a passage of that size, at a place drawn by the hash of ``key``."""
+    spare = F.greatest(F.length(text) - most, F.lit(0)) + 1
+    place = F.pmod(F.xxhash64(key, F.lit("place")), spare.cast("long")).cast("int") + 1
+    return F.when(F.length(text) > most, F.substring(text, place, F.lit(most))).otherwise(F.col(text))

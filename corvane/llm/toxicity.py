@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import extend
+from .shared import extend, passage, smallest_hashes
 
 WINDOW, STRIDE = 48, 24
 _WORD = re.compile(r"\w+")
@@ -263,13 +263,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     the hash of its id, so that a label's half holds sixteen texts at least. The chosen ids are at most twice ``train_rows``, so they are broadcast.
     """
     usable = labels.select(labels[id_col].alias("_i"), labels[label_col].cast("int").alias("_y")).filter(~is_held_out(F.col("_i")) & F.col("_y").isin(0, 1))
-    rank = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_i"), "_i"))
-    chosen = F.broadcast(usable.withColumn("_r", rank).filter(F.col("_r") <= train_rows))
+    chosen = F.broadcast(smallest_hashes(usable, "_y", train_rows))
     texts = docs.select(docs[id_col].alias("_i"), docs[text_col].alias("_t")).filter("_t IS NOT NULL").join(chosen, "_i")
-    most = train_chars // 32
-    spare = F.greatest(F.length("_t") - most, F.lit(0)) + 1
-    place = F.pmod(F.xxhash64("_i", F.lit("place")), spare.cast("long")).cast("int") + 1
-    texts = texts.withColumn("_t", F.when(F.length("_t") > most, F.substring("_t", place, F.lit(most))).otherwise(F.col("_t")))
+    texts = texts.withColumn("_t", passage("_t", "_i", train_chars // 32))
     whole = Window.partitionBy("_y").orderBy("_r", "_t").rowsBetween(Window.unboundedPreceding, 0)
     fits = F.sum(F.length("_t").cast("long")).over(whole) <= train_chars // 2
     rows = texts.withColumn("_fits", fits).filter("_fits").select("_r", "_y", "_t").collect()
@@ -295,7 +291,8 @@ def score_documents(
     score is the network's, from the text alone; predicted is 1 where it is at least ``threshold``. A text
     without words, a null one too, scores 0.0025. held_out tells rows that training never sees; a null id
     is one of them. Labels other than 0 and 1 and labels without a text are left out. ``net`` replaces training.
-    Repeated rows are rows of their own. An empty table gives an empty result.
+    Repeated rows are rows of their own. An empty table gives an empty result. Other columns are not read but for those of
+    ``keep``, whose names may be any that the result's own columns don't have.
     """
     if net is None:
         net = train(*sample(docs, labels, id_col, text_col, label_col, train_rows, train_chars), steps=steps)
