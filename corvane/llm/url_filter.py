@@ -38,7 +38,24 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def apply_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+#: Tables of hosts of up to so many rows (some ten megabytes) are broadcast.
+SMALL, SALTS = 100_000, 16
+
+
+def with_host_table(pages: DataFrame, table: DataFrame) -> DataFrame:
+    """The pages with the columns of ``table`` (host, …), one row a host; null where there is none.
+
+    A table measured small is broadcast. Beyond that, a host's pages are dealt over ``SALTS`` tasks, and pages without a host stay
+    out of the join, so neither a popular host nor the empty one meets in one task.
+    """
+    if table.count() <= SMALL:
+        return pages.join(F.broadcast(table), "host", "left")
+    named = pages.filter("host <> ''").withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in pages.dtypes if t in ("string", "bigint", "int")]), F.lit(SALTS)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return named.join(copies, ["host", "_salt"], "left").drop("_salt").unionByName(pages.filter("host = ''"), allowMissingColumns=True)
+
+
+def apply_rules(pages: DataFrame, rules: list[tuple[str, str]], scratch: Scratch) -> DataFrame:
     """Adds rule and ruled (its verdict) to pages with host and path: of the rules that fit, the longest.
 
     A rule (like "net/") fits its host and all subdomains where the path begins with the rule's. Rules meet
@@ -51,7 +68,7 @@ def apply_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     found = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("_domain")).join(table, "_domain")
     found = found.groupBy("host").agg(F.collect_set(F.struct(F.length("_rule").alias("size"), F.col("_rule").alias("rule"), F.col("_path").alias("path"), F.col("_ruled").alias("ruled"))).alias("_rules"))
     best = F.array_max(F.filter("_rules", lambda r: F.col("path").startswith(r.path)))
-    return pages.join(found, "host", "left").withColumn("_best", best).select(*pages.columns, F.col("_best.rule").alias("rule"), F.col("_best.ruled").alias("ruled"))
+    return with_host_table(pages, scratch.table("rules", found)).withColumn("_best", best).select(*pages.columns, F.col("_best.rule").alias("rule"), F.col("_best.ruled").alias("ruled"))
 
 
 def host_edges(pages: DataFrame, html: str) -> DataFrame:
@@ -61,23 +78,28 @@ def host_edges(pages: DataFrame, html: str) -> DataFrame:
     return edges.filter("a <> b AND b <> ''").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind of ``seeds`` (kind, host, weight).
 
     ``edges`` (kind, a, b, w) have weights that sum to 1 from each a. Each kind's weights sum to 1; score that has
-    no edge to follow is lost, so scores sum to at most 1. Rounds stop when no kind's scores move by ``tolerance`` in sum.
+    no edge to follow is lost, so scores sum to at most 1. Rounds stop when no kind's scores move by ``tolerance`` in sum; as a round
+    moves at most ``damping`` (below 1) of what the last one moved, they do.
     """
     base = seeds.select("kind", F.col("host"), (F.col("weight") * (1 - damping)).alias("base"))
     ranks = scratch.table("rank-0", base.withColumnRenamed("base", "score"))
     if edges.isEmpty():
         return ranks
-    for k in range(1, most_rounds + 1):
-        moved = edges.join(ranks.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg((F.sum(F.col("score") * F.col("w")) * damping).alias("base"))
+    k = 0
+    while True:
+        k += 1
+        known = F.broadcast(ranks) if ranks.count() <= SMALL else ranks
+        moved = edges.join(known.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg((F.sum(F.col("score") * F.col("w")) * damping).alias("base"))
         new = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("base").alias("score"))
         old = ranks.withColumnRenamed("score", "was")
         new = scratch.table(f"rank-{k}", new.join(old, ["kind", "host"], "left").withColumn("was", F.coalesce("was", F.lit(0.0))))
         change = new.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("d")).agg(F.max("d")).first()[0] or 0.0
         ranks = new.drop("was")
+        scratch.drop(f"rank-{k - 1}")
         if change < tolerance:
             break
     return ranks
@@ -91,11 +113,12 @@ def judge(
     A null url or one without "://" has an empty host and path, no rule and the verdict allow; so has a
     host that no propagation reaches. Hosts of which at least ``share`` of the pages are allowed (blocked) by
     rules are seeds of trust (distrust). trust and distrust are the host's scores times the number of hosts.
-    Null markup has no links. Repeated rows are pages of their own; an empty table gives an empty result.
+    Null markup has no links. Repeated rows are pages of their own; an empty table gives an empty result. Other columns are not
+    read. A url without a path (``http://a.net``) has the empty path, which doesn't begin with a rule's ``/``, so no rule fits it.
     """
     scratch = Scratch(pages.sparkSession, "url-filter")
     base = pages.select(pages[id_col].alias("_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"), pages[html_col].alias("_html"))
-    judged = scratch.table("judged", apply_rules(base.drop("_html"), rules))
+    judged = scratch.table("judged", apply_rules(base.drop("_html"), rules, scratch))
     hosts = judged.filter("host <> ''").groupBy("host").agg(F.avg((F.coalesce("ruled", F.lit("")) == "allow").cast("int")).alias("allowed"), F.avg((F.coalesce("ruled", F.lit("")) == "block").cast("int")).alias("blocked"))
     kinds = F.filter(F.array(F.when(F.col("allowed") >= share, "trust"), F.when(F.col("blocked") >= share, "distrust")), lambda k: k.isNotNull())
     seeds = scratch.table("seeds", hosts.select("host", F.explode(kinds).alias("kind")))
@@ -109,7 +132,7 @@ def judge(
     count = hosts.select("host").union(links.select("b")).distinct().count()
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))) * count, F.lit(0.0))
     scores = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
-    found = judged.join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    found = with_host_table(judged, scratch.table("scores", scores)).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))
     return found.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
