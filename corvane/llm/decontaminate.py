@@ -5,21 +5,21 @@ it can't be inside an occurrence, so the text is cut there, and pieces shorter t
 out of the index. All phrases are searched backwards through the ranks of the wavelet matrix, occurrences are
 located by walking to a sampled suffix position, and the words they cover merge into removal spans.
 
-The phrases go to the tasks in blocks of at most ``block_bytes`` of benchmark text, one block after the other,
-so what is sent to a task is bounded whatever the benchmark's size.
+The phrases go to the tasks in blocks of about ``block_bytes`` of benchmark text. With more than one block, what a block found is
+written to the shared folder before the next block is read, so the driver and a task hold one block at a time, whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import extend
+from .shared import Scratch, extend
 
 #: A-Z in lower case; digits, letters and bytes of other characters as they are; blanks for the rest.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -115,13 +115,13 @@ def _without(text: str, marks: list[list[int]]) -> str:
     return "".join(text[a:b] for a, b in zip([0, *(e for _, e in marks)], [*(s for s, _ in marks), len(text)], strict=True)) if marks else text
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of about ``block_bytes``; each is collected by itself."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks of about ``block_bytes`` the items make, and the blocks, each collected when it is asked for."""
     items = benchmark.select(benchmark[item_col].cast("string").alias("i"), F.coalesce(benchmark[text_col], F.lit("")).alias("t")).filter("i IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = total // block_bytes + 1
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r.i, r.t) for r in items.filter(part == k).collect()] for k in range(n)]
+    return n, ([(r.i, r.t) for r in items.filter(part == k).collect()] for k in range(n))
 
 
 def find_benchmark(
@@ -142,13 +142,15 @@ def find_benchmark(
     inside any occurrence, items lists the occurring items' ids as sorted strings, and spans the code
     points [start, end) to remove. With ``clean``, cleaned is the text without its spans. A null text has
     no words; items without words or with a null id have no phrases; items that repeat an id count as one.
-    Repeated rows are rows of their own. An empty table on either side gives no hits.
+    Repeated rows are rows of their own. An empty table on either side gives no hits. Other columns are not read but for those
+    of ``keep``, whose names may be any that the result's own columns don't have.
     """
     df = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), *[docs[c].alias(f"_keep_{c}") for c in keep])
     df = df.withColumn("_spans", F.expr("CAST(array() AS array<array<int>>)")).withColumn("_items", F.expr("CAST(array() AS array<string>)"))
-    parts = blocks(benchmark, item_col, item_text_col, block_bytes)
+    count, parts = blocks(benchmark, item_col, item_text_col, block_bytes)
+    scratch = Scratch(docs.sparkSession, "benchmark")
     for number, block in enumerate(parts, 1):
-        phrases, last = Phrases(block, window), number == len(parts)
+        phrases, last = Phrases(block, window), number == count
 
         def start(phrases=phrases, last=last):
             def make(batch):
@@ -168,6 +170,10 @@ def find_benchmark(
         new = "n_words long, n_hit long, items array<string>, spans array<array<int>>" + ", cleaned string" * clean
         df = extend(df, new if last else "_new_spans array<array<int>>, _new_items array<string>", start, drop=("_spans", "_items", "_text")[: 3 if last else 2])
         df = df.withColumnsRenamed({"_new_spans": "_spans", "_new_items": "_items"})
+        if not last:
+            df = scratch.table(f"block-{number}", df)
+            if number > 1:
+                scratch.drop(f"block-{number - 1}")
     return df.select(F.col("_id").alias(id_col), "n_words", "n_hit", "items", "spans", *["cleaned"] * clean, *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
