@@ -13,7 +13,7 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Each round points a vertex at the least of itself and its neighbours, follows these pointers to their ends, and
     contracts the links to the ends they lead to; links within one end fall away, so rounds shrink fast. Each step is
-    written to the shared folder; minima are combined before the shuffle, so a hub costs one row in each task.
+    written to the shared folder and dropped when the next is; minima are combined before the shuffle, so a hub costs one row in each task.
     """
     edges = scratch.table(f"{name}-edges", links.filter("a <> b").select("a", "b").distinct())
     labels = None
@@ -28,20 +28,23 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             top = up.select(F.col("v").alias("p"), F.col("p").alias("top"))
             new = scratch.table(f"{name}-{turn}-{jump}", up.join(top, "p").select("v", F.col("top").alias("p"), (F.col("top") != F.col("p")).alias("moved")))
             up = new.select("v", "p")
+            scratch.drop(f"{name}-{turn}-{jump - 1}")
             if new.filter("moved").isEmpty():
                 break
         ends = up.select(F.col("v").alias("label"), "p")
         labels = up.select("v", F.col("p").alias("label")) if labels is None else labels.join(ends, "label", "left").select("v", F.coalesce("p", "label").alias("label"))
+        labels = scratch.table(f"{name}-{turn}-labels", labels)
         for end in ("a", "b"):
             edges = edges.join(up.select(F.col("v").alias(end), F.col("p").alias(f"_{end}")), end)
         edges = scratch.table(f"{name}-{turn}-edges", edges.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("label")) if labels is None else scratch.table(f"{name}-labels", labels)
+        scratch.drop(f"{name}-{turn}-{jump}", f"{name}-{turn - 1}-edges" if turn > 1 else f"{name}-edges", *[f"{name}-{turn - 1}-labels"] * (turn > 1))
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("label")) if labels is None else labels
 
 
 def extend_components(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(v, label) after further ``links``; only the components that these join are worked on again."""
     if labels is None:
-        return connected(links, scratch, name)
+        return scratch.table(name, connected(links, scratch, f"{name}-own"))
     named = links
     for end in ("a", "b"):
         of = labels.select(F.col("v").alias(end), F.col("label").alias(f"_{end}"))

@@ -13,10 +13,10 @@ Work is kept in proportion to the input:
 * Documents with one set are one class; only its smallest id takes part.
 * In each bucket of a band, members meet a hub, the member with the smallest hash (a star, with another hub in each
   band); then, in buckets with more than one component left, the one with the largest.
-* In buckets that still hold several components, only pairs of different components are searched, and of those only
-  pairs that can reach the threshold: a document's reach is the number of its shingles that occur in another open
-  component, and bounds its intersection with any document there; counted in parts of the hash range, it bounds
-  that of a pair closely. Members of a large group with many edits and texts around a shared passage drop out by that.
+* What is left are classes that share a bucket with another component. Those that can link are found by a prefix join over all of them:
+  shingles are put in one order, first those of a single component, then the rarest first. Of two linked sets, the smaller one
+  has a common shingle among its first n - 2sn / (1 + s) + 1, the larger one among its first n - sn + 1. So what a whole family of
+  texts shares, a template say, comes last and is never joined on, and pairs without a rare shingle in common are never made.
 * Texts are read twice; sets are only built for classes that share a bucket.
 """
 
@@ -115,21 +115,30 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return extend(both, "_linked boolean", start, drop=("_sa", "_sb")).filter("_linked").select("a", "b")
 
 
-def _reach(pool: DataFrame, sets: DataFrame, percent: int, parts: int = 64) -> DataFrame:
-    """(c, reach, spread) of the open classes that can link to another component.
+def _rare_pairs(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the open classes of different components that can reach the threshold, by a prefix join on rare shingles.
 
-    spread counts, in each of ``parts`` fixed parts of the hash range, the shingles of a class that occur in an open
-    class of another component; reach is their sum. Two classes of different components share at most the sum of
-    the lesser counts. A link needs intersection * (100 + percent) >= percent * (n + other n), and the other set has
-    at least ``percent`` hundredths of the shingles.
+    A link needs intersection * (100 + percent) >= percent * (n + other n), so with the other set at least as large, 2 * percent * n /
+    (100 + percent) common shingles, and with the other at most as large, percent * n / 100. In any one order of all shingles the
+    first common one is then at a place in either set that leaves as many behind it. Shingles of one component only are
+    first in the order, as they can't be common to a pair; a class whose others are too few drops out. Common shingles up to the last one
+    that a pair was joined on are all counted, which bounds how many there can be.
     """
-    classes = pool.groupBy("c").agg(F.min("n").alias("n"), F.min("label").alias("label"))
-    pieces = classes.join(sets, "c").select("c", "n", "label", F.explode("set").alias("g"))
-    across = pieces.groupBy("g").agg(F.min("label").alias("_l0"), F.max("label").alias("_l1")).filter("_l0 < _l1").select("g")
-    counts = pieces.join(across, "g").groupBy("c", "n", F.pmod("g", F.lit(parts)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("k"))
-    found = counts.groupBy("c", "n").agg(F.sum("k").alias("reach"), F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("_k"))
-    found = found.filter(F.col("reach") * 100 >= F.col("n") * percent)
-    return found.select("c", "reach", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.col("_k")[i], F.lit(0))).alias("spread"))
+    # an id that stands for several sets counts with all their shingles and the least and the largest size
+    classes = pool.groupBy("c").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.min("label").alias("label"))
+    pieces = classes.join(sets, "c").select("c", "n", "m", "label", F.explode("set").alias("g"))
+    across = pieces.groupBy("g").agg(F.min("label").alias("_l0"), F.max("label").alias("_l1"), F.count("*").alias("f")).filter("_l0 < _l1").select("g", "f")
+    ranked = pieces.join(across, "g").groupBy("c", "n", "m", "label").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("_r"))
+    least = lambda by, of: F.size("_r") - F.ceil(F.col("n") * by / F.lit(float(of))).cast("int") + 1
+    ranked = ranked.withColumn("probe", least(percent, 100)).withColumn("index", least(2 * percent, 100 + percent)).filter("probe > 0")
+    # rest is how many shingles of the set come after this one
+    entry = ranked.select("c", "n", "m", "label", "index", F.size("_r").alias("_size"), F.posexplode(F.expr("slice(_r, 1, probe)")).alias("at", "_x"))
+    entry = entry.select("c", "n", "m", "label", "index", "at", F.col("_x.g").alias("g"), (F.col("_size") - 1 - F.col("at")).alias("rest"))
+    left = entry.filter("at < index").select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("label").alias("la"), F.col("rest").alias("ra"))
+    right = entry.select("g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rest").alias("rb"))
+    met = left.join(right, "g").filter((F.col("la") != F.col("lb")) & (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ma") * 100 >= F.col("nb") * percent))
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
+    return pairs.filter((F.col("k") + F.least("ra", "rb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def near_duplicates(
@@ -170,6 +179,11 @@ def near_duplicates(
     sketched = scratch.table("sketched", extend(base, "n long, digest binary, bands array<long>", start))
     usable = sketched.filter("_id IS NOT NULL AND n > 0")
     classes = scratch.table("classes", usable.groupBy("digest").agg(F.min("_id").alias("c")))
+    # ids with several sets, rarely any: their classes are linked
+    several = sketched.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("digest").alias("_d0"), F.max("digest").alias("_d1"), F.min("n").alias("_n0"))
+    several = scratch.table("several", several.filter("_d0 <> _d1 OR (_n0 = 0 AND _d0 IS NOT NULL)").select("_id"))
+    held = usable.join(several, "_id").join(classes, "digest").groupBy("_id", "c").agg(F.count("*")).select("_id", "c")
+    held = scratch.table("held", held.join(held.groupBy("_id").agg(F.min("c").alias("_c")), "_id"))
     own = usable.join(classes.select(F.col("digest").alias("_d"), "c"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("c")), "left_semi")
     own = own.dropDuplicates(["_id", "digest"])
     members = own.select(F.col("_id").alias("c"), "n", "digest", F.posexplode("bands").alias("band", "h"))
@@ -204,18 +218,21 @@ def near_duplicates(
             pairs = pool.filter(F.col("c") != F.col(hub)).join(hubs, ["band", "h"]).filter(fits("n", "nb"))
             pairs = (pairs.filter("label <> lb") if labels is not None else pairs).select(F.col("c").alias("a"), "b")
         else:
-            # only between components: within one, a link would change nothing
-            pool = pool.join(_reach(pool, sets, percent), "c")
-            y = pool.select("band", "h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("reach").alias("rb"), F.col("spread").alias("sb"))
-            enough = lambda most: most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
-            common = F.aggregate(F.zip_with("spread", "sb", lambda u, v: F.least(u, v)), F.lit(0), lambda total, k: total + k)
-            near = enough(F.least("reach", "rb")) & enough(common)
-            pairs = pool.join(y, ["band", "h"]).filter((F.col("label") < F.col("lb")) & fits("n", "nb") & near).select(F.col("c").alias("a"), "b")
+            pairs = _rare_pairs(pool, sets, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = scratch.table(f"pairs-{turn}", pairs)
         found = scratch.table(f"links-{turn}", _confirm(pairs, sets, percent))
-        labels = extend_components(labels, found, scratch, f"components-{turn}")
+        older, labels = labels, extend_components(labels, found, scratch, f"components-{turn}")
+        scratch.drop(f"pairs-{turn}", f"links-{turn}", *[f"open-{turn}", f"components-{turn - 1}"] * (older is not None))
+    scratch.drop("shared", "sets")
+    links = held.filter("c <> _c").select(F.col("c").alias("a"), F.col("_c").alias("b"))
+    if not links.isEmpty():
+        labels = extend_components(labels, links, scratch, "components-ids")
     found = classes.join(labels, classes["c"] == labels["v"], "left").select(F.col("digest").alias("_d"), F.coalesce("label", "c").alias("component_id"))
     out = sketched.join(found, F.col("digest") == F.col("_d"), "left")
+    if not held.isEmpty():  # an empty row of an id that also has words
+        whole = held.select(F.col("_id").alias("_i"), F.col("_c").alias("v")).distinct().join(labels, "v", "left").select("_i", F.coalesce("label", "v").alias("_of"))
+        out = out.join(whole, F.col("_id") == F.col("_i"), "left").withColumn("component_id", F.coalesce("component_id", "_of"))
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 

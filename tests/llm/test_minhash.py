@@ -1,5 +1,6 @@
 """Near-duplicate groups against all pairs."""
 
+import os
 import random
 from collections import Counter
 
@@ -91,3 +92,59 @@ def test_components_grow(spark):
     assert {r.v: r.label for r in second.collect()} == {5: 5, 6: 5, 7: 5, 8: 5, 1: 1, 2: 1, 9: 1, 20: 20, 21: 20}
     third = components.extend_components(second, frame([]), scratch, "c")
     assert third.count() == 9
+
+
+def test_ids_with_several_texts(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "ABCDE"}
+    rows = [(3, text["A"]), (5, text["A"]), (5, text["B"]), (7, text["B"]), (10, text["C"]), (9, text["C"]), (11, text["C"]), (11, text["D"]), (8, text["D"]), (20, text["E"]), (20, None), (20, ""), (19, text["E"]), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, minhash.near_duplicates(docs, words=4).collect())) == brute(rows, 4, 80)
+
+
+def family(n, seed=2):
+    """Texts of a template of 840 words and four passages of 40 words from a pool, in which each passage is in about eight texts."""
+    draw = random.Random(seed)
+    word = lambda: f"w{draw.randrange(10**7)}"
+    template = [word() for _ in range(840)]
+    pool = [[word() for _ in range(40)] for _ in range(n // 2)]
+    return [(k, " ".join(template + [w for p in draw.sample(pool, 4) for w in p])) for k in range(n)]
+
+
+def test_template_families_stay_linear(spark, monkeypatch):
+    """Texts that share a template but aren't near copies make pairs in proportion to their number, and no link is lost."""
+    confirm, counts = minhash._confirm, {}
+
+    def counted(pairs, sets, percent):
+        counts[n] = counts.get(n, 0) + pairs.count()
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirm", counted)
+    for n in (240, 480):
+        rows = family(n)
+        rows += [(n + k, rows[k][1].replace("w1", "v1", 3)) for k in range(0, n, 40)]
+        got = Counter(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+        assert got == brute(rows, 5, 80)
+    # 10,992 and 23,342 of 28,680 and 114,960 pairs when this was written, those with hubs included
+    assert counts[480] < 2.4 * counts[240] and counts[480] < 52 * 480, counts
+
+
+def test_no_link_is_lost_near_the_threshold(spark):
+    """Random edits of one text, whose similarities lie on both sides of the threshold, against all pairs."""
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for _ in range(draw.randrange(2, 9)):
+            own[draw.randrange(80)] = f"x{draw.randrange(60)}"
+        rows.append((k, " ".join(own[: draw.randrange(60, 81)])))
+    assert Counter(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect())) == brute(rows, 2, 80)
+
+
+def test_tables_go(spark):
+    folder = Scratch(spark, "x").path.rpartition("/")[0].removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = minhash.near_duplicates(spark.createDataFrame([(k, "a b c d e f g " * (k % 3 + 1)) for k in range(9)], "doc_id long, text string"))
+    assert found.count() == 9
+    (new,) = [x for x in set(os.listdir(folder)) - before if x.startswith("minhash-")]
+    assert not {"shared", "sets"} & set(os.listdir(f"{folder}/{new}")) and not [x for x in os.listdir(f"{folder}/{new}") if x.startswith(("pairs", "links", "open"))]
