@@ -121,8 +121,8 @@ def _rare_pairs(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A link needs intersection * (100 + percent) >= percent * (n + other n), so with the other set at least as large, 2 * percent * n /
     (100 + percent) common shingles, and with the other at most as large, percent * n / 100. In any one order of all shingles the
     first common one is then at a place in either set that leaves as many behind it. Shingles of one component only are
-    first in the order, as they can't be common to a pair; a class whose others are too few drops out. Common shingles up to the last one
-    that a pair was joined on are all counted, which bounds how many there can be.
+    first in the order, as they can't be common to a pair; a class whose others are too few drops out. After its first common shingle a
+    pair has at most as many as are left in either set, so a pair is only made on a shingle with enough left in both.
     """
     # an id that stands for several sets counts with all their shingles and the least and the largest size
     classes = pool.groupBy("c").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.min("label").alias("label"))
@@ -136,9 +136,9 @@ def _rare_pairs(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     entry = entry.select("c", "n", "m", "label", "index", "at", F.col("_x.g").alias("g"), (F.col("_size") - 1 - F.col("at")).alias("rest"))
     left = entry.filter("at < index").select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("label").alias("la"), F.col("rest").alias("ra"))
     right = entry.select("g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rest").alias("rb"))
-    met = left.join(right, "g").filter((F.col("la") != F.col("lb")) & (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ma") * 100 >= F.col("nb") * percent))
-    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
-    return pairs.filter((F.col("k") + F.least("ra", "rb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    enough = (F.least("ra", "rb") + 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    sides = (F.col("la") != F.col("lb")) & (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ma") * 100 >= F.col("nb") * percent)
+    return left.join(right, "g").filter(sides & enough).select("a", "b").distinct()
 
 
 def near_duplicates(
