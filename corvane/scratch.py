@@ -78,6 +78,11 @@ class Scratch:
         return self in _live
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now: it does so when the driver's JVM collects what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch table of this session's application. Call it when the results that read them are written."""
     for scratch in [s for s in _live if s.spark.sparkContext.applicationId == spark.sparkContext.applicationId]:
@@ -91,5 +96,8 @@ def released(keep: Scratch | None = None):
     try:
         yield
     finally:
-        for scratch in [s for s in _live if s not in before and s is not keep]:
+        gone = [s for s in _live if s not in before and s is not keep]
+        for scratch in gone:
             scratch.drop()
+        if gone:
+            sweep(gone[0].spark)
