@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import extend_components
-from .shared import Scratch, extend
+from .shared import Scratch, extend, sweep
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -115,7 +115,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return extend(both, "_linked boolean", start, drop=("_sa", "_sb")).filter("_linked").select("a", "b")
 
 
-def _rare_pairs(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rare_pairs(pool: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) of the open classes of different components that can reach the threshold, by a prefix join on rare shingles.
 
     A link needs intersection * (100 + percent) >= percent * (n + other n), so with the other set at least as large, 2 * percent * n /
@@ -133,7 +133,7 @@ def _rare_pairs(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = ranked.withColumn("probe", least(percent, 100)).withColumn("index", least(2 * percent, 100 + percent)).filter("probe > 0")
     # rest is how many shingles of the set come after this one
     entry = ranked.select("c", "n", "m", "label", "index", F.size("_r").alias("_size"), F.posexplode(F.expr("slice(_r, 1, probe)")).alias("at", "_x"))
-    entry = entry.select("c", "n", "m", "label", "index", "at", F.col("_x.g").alias("g"), (F.col("_size") - 1 - F.col("at")).alias("rest"))
+    entry = scratch.table("entries", entry.select("c", "n", "m", "label", "index", "at", F.col("_x.g").alias("g"), (F.col("_size") - 1 - F.col("at")).alias("rest")))
     left = entry.filter("at < index").select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("label").alias("la"), F.col("rest").alias("ra"))
     right = entry.select("g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rest").alias("rb"))
     enough = (F.least("ra", "rb") + 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
@@ -204,6 +204,7 @@ def near_duplicates(
     texts = base.join(needed, base["_id"] == needed["c"]).select("c", "digest", "_text").dropDuplicates(["c", "digest", "_text"])
     sets = extend(texts, "same boolean, set array<long>", start_sets, drop=("_text", "digest")).filter("same").select("c", "set")
     sets = scratch.table("sets", sets)
+    sweep(docs.sparkSession)
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     labels = None
     for turn, hub in enumerate(("low", "high", None)):
@@ -218,13 +219,14 @@ def near_duplicates(
             pairs = pool.filter(F.col("c") != F.col(hub)).join(hubs, ["band", "h"]).filter(fits("n", "nb"))
             pairs = (pairs.filter("label <> lb") if labels is not None else pairs).select(F.col("c").alias("a"), "b")
         else:
-            pairs = _rare_pairs(pool, sets, percent)
+            pairs = _rare_pairs(pool, sets, percent, scratch)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.table(f"pairs-{turn}", pairs)
         found = scratch.table(f"links-{turn}", _confirm(pairs, sets, percent))
         older, labels = labels, extend_components(labels, found, scratch, f"components-{turn}")
         scratch.drop(f"pairs-{turn}", f"links-{turn}", *[f"open-{turn}", f"components-{turn - 1}"] * (older is not None))
-    scratch.drop("shared", "sets")
+        sweep(docs.sparkSession)
+    scratch.drop("shared", "sets", "entries")
     links = held.filter("c <> _c").select(F.col("c").alias("a"), F.col("_c").alias("b"))
     if not links.isEmpty():
         labels = extend_components(labels, links, scratch, "components-ids")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corvane.scratch import Scratch, release, released, shared_dir
+from corvane.scratch import Scratch, release, released, shared_dir, sweep
 
-__all__ = ["Scratch", "documents", "extend", "passage", "release", "released", "shared_dir", "smallest_hashes"]
+__all__ = ["Scratch", "documents", "extend", "passage", "release", "released", "shared_dir", "smallest_hashes", "sweep"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
