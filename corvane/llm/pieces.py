@@ -3,8 +3,8 @@
 A piece of the vocabulary never holds a whitespace marker after another character, and merges are local,
 so a text can be cut before each run of markers and each chunk segmented by itself. ``cuts_at_markers``
 checks that of a model; other models are refused. The texts of an Arrow slice become one list of chunks; its
-distinct chunks are looked up in the table, those it lacks are segmented, once, and the entries (ids as decimal text, decoded
-text) join back by position. A worker process keeps its table for all its tasks. A table that would grow beyond ``table_chunks`` begins
+distinct chunks are looked up in the table, those it lacks are segmented, once, and the entries (ids as decimal text, and the
+decoded text where it isn't the chunk's own) join back by position. A worker process keeps its table for all its tasks. A table that would grow beyond ``table_chunks`` begins
 anew with the slice's own chunks, so memory stays bounded; a table of the whole corpus would grow with it and need a shuffle of every word.
 """
 
@@ -41,37 +41,42 @@ def cuts_at_markers(sp) -> bool:
 
 
 class Chunks:
-    """The table of distinct chunks: for each, the ids as decimal text and the decoded text with its leading space."""
+    """The table of distinct chunks: the ids of each as decimal text, and the decoded text of those that don't decode to themselves."""
 
     def __init__(self, model: bytes, table_chunks: int):
         self.sp, self.most = processor(model), table_chunks
-        self.entries: dict[str, tuple[str, str]] = {}
+        self.ids: dict[str, str] = {}
+        self.changed: dict[str, str] = {}
         self.segmented = 0
 
     def add(self, chunks: set[str]) -> None:
         """Segment the chunks that the table lacks. A chunk begins with at least one marker, which the library adds."""
-        new = [c for c in chunks if c not in self.entries]
-        if len(self.entries) + len(new) > self.most:
-            self.entries.clear()
+        new = [c for c in chunks if c not in self.ids]
+        if len(self.ids) + len(new) > self.most:
+            self.ids.clear(), self.changed.clear()
             new = list(chunks)
         self.segmented += len(new)
-        if MARK in chunks and MARK not in self.entries:  # the library adds no marker to an empty text
+        if MARK in chunks and MARK not in self.ids:  # the library adds no marker to an empty text
             new.remove(MARK)
-            self.entries[MARK] = str(self.sp.piece_to_id(MARK)), " "
+            self.ids[MARK] = str(self.sp.piece_to_id(MARK))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for chunk, ids in zip(part, self.sp.encode([c[1:] for c in part], num_threads=1), strict=True):
-                self.entries[chunk] = " ".join(map(str, ids)), " " + self.sp.decode(ids)
+                self.ids[chunk] = " ".join(map(str, ids))
+                if (text := " " + self.sp.decode(ids)) != chunk.replace(MARK, " "):
+                    self.changed[chunk] = text
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text, its ids as decimal text without the end id, and its decoded text."""
         chunks = [_RUNS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         self.add(set(itertools.chain.from_iterable(chunks)))
-        at = self.entries.__getitem__
         out = []
-        for part in chunks:
-            found = list(map(at, part))
-            out.append((" ".join([ids for ids, _ in found]), "".join([text for _, text in found])[1:]))
+        for text, part in zip(texts, chunks, strict=True):
+            if self.changed.keys().isdisjoint(part):
+                decoded = text.replace(MARK, " ")
+            else:
+                decoded = "".join([self.changed.get(c) or c.replace(MARK, " ") for c in part])[1:]
+            out.append((" ".join(map(self.ids.__getitem__, part)), decoded))
         return out
 
 
@@ -117,5 +122,5 @@ def encode_documents(
         return make
 
     new = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    found = extend(rows, new, start)
+    found = extend(rows, new, start, slice_bytes=2 << 20)  # a slice of chunks takes some thirty times its bytes
     return found.select(F.col("_id").alias(id_col), *[x.split()[0] for x in new.split(", ")], *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])
