@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from . import decontaminate, exact_dedup, language, minhash, pieces, pii, secrets, sharding, toxicity, url_filter
-from .shared import documents
+from .shared import documents, small_batches
 
 
 def op1_toxicity(spark, sf_dir):
     """A toxicity score for every document; a third of the ids is held out of training."""
+    small_batches(spark)
     return toxicity.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
@@ -25,6 +26,7 @@ def op4_sentencepiece(spark, sf_dir):
     """All documents through the 32k piece model and back."""
     import public_tokenizers
 
+    small_batches(spark)
     return pieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -43,11 +45,13 @@ def op6_url_filter(spark, sf_dir):
 
 def op7_decontamination(spark, sf_dir):
     """Words of every document inside ten-word phrases of the benchmark."""
+    small_batches(spark)
     return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
 def op8_pii(spark, sf_dir):
     """Personal data in every document."""
+    small_batches(spark)
     return pii.find_pii(documents(spark, sf_dir))
 
 

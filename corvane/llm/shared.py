@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.scratch import Scratch, release, released, shared_dir, sweep
 
-__all__ = ["Scratch", "documents", "extend", "passage", "release", "released", "shared_dir", "smallest_hashes", "sweep"]
+__all__ = ["Scratch", "documents", "extend", "passage", "release", "released", "shared_dir", "small_batches", "smallest_hashes", "sweep"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -21,6 +21,17 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For a query: Arrow batches of at most 16 MB instead of Spark's 64 MB, unless the session has a limit of its own.
+
+    Executors hold several batches at once beside their heap. Operators leave the session's settings alone; queries that return what
+    an Arrow pass makes need this until their result is read, so they set it and it stays.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, "64MB") in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(limit, "16777216b")
+
+
 def _give_back() -> None:
     """Return freed memory to the system at a task's end; Spark keeps Python workers for later tasks."""
     gc.collect()
