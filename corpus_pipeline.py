@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, exact_dedup, language, minhash, pieces
-from corvane.llm.shared import Scratch, released
+from corvane.llm.shared import Scratch, released, small_batches
 
 
 def _guarded(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -69,6 +69,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     A document that had no words stays. n_chars follows the text where it was cut. Repeated rows are treated alike.
     """
+    small_batches(spark)
     rows, rest = _guarded(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_benchmark(rows, benchmark, "in_doc_id", "in_text", clean=True, keep=tuple(c for c in rest if c != "in_text"))
@@ -82,6 +83,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece encoding and decoding (4) of what is left, a row for each row; an empty text has the end id only."""
     import public_tokenizers
 
+    small_batches(spark)
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
