@@ -53,6 +53,10 @@ class Scratch:
         setting is back afterwards.
         """
         path = f"{self.path}/{name}"
+        if not self.marked:  # before the write, so that what a failed write leaves goes too; only folders that exist can be marked
+            fs, place = self._file_system(self.path)
+            fs.mkdirs(place)
+            self.marked = fs.deleteOnExit(place)
         conf = self.spark.conf
         before = conf.get(_BATCH, None)
         if before in (None, "64MB", "67108864", "67108864b"):
@@ -61,9 +65,6 @@ class Scratch:
             df.write.parquet(path)
         finally:
             conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
-        if not self.marked:
-            fs, place = self._file_system(self.path)
-            self.marked = fs.deleteOnExit(place)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane import scratch
@@ -30,6 +31,15 @@ def test_tables_go(spark):
     assert not below(spark) and not kept.exists()
 
 
+def test_failed_write_is_marked(spark):
+    failing = scratch.Scratch(spark, "failing")
+    with pytest.raises(Exception, match="no rows"):
+        failing.table("a", spark.range(3).select(F.raise_error(F.lit("no rows")).cast("long").alias("x")))
+    assert failing.marked and len(below(spark, "failing-")) == 1
+    scratch.release(spark)
+    assert not below(spark, "failing-") and not failing.exists()
+
+
 def test_one_scan_serves_all_searches(spark, tmp_path):
     rows = [(i, f"word{i % 7} other{i % 3} text") for i in range(40)]
     spark.createDataFrame(rows, "did long, text string").write.parquet(f"{tmp_path}/docs")
