@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, minhash, pieces, pii, secrets, sharding, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from . import centroids, decontaminate, exact_dedup, language, minhash, packing, pieces, pii, secrets, sharding, toxicity, url_filter, whitening
 from .shared import documents, small_batches
 
 
@@ -72,5 +74,31 @@ def op10_language_id(spark, sf_dir):
     return of_docs.unionByName(language.identify_pages(documents(spark, sf_dir, "pages"), model=model), allowMissingColumns=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_sentencepiece, op5_secret_scan, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup, op10_language_id)}
-ORACLE_SQL = {"op2_minhash": minhash.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op3_sharding": sharding.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+def op11_whitening(spark, sf_dir):
+    """All vectors on their eight leading components. A deviation beyond a long is null there and whole in deviation_exact."""
+    small_batches(spark)
+    done = whitening.whiten(documents(spark, sf_dir, "embeddings"))
+    return done.withColumns({"deviation_exact": F.col("deviation"), "deviation": F.col("deviation").try_cast("long")})
+
+
+def op12_packing(spark, sf_dir):
+    """All documents as sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_centroids(spark, sf_dir):
+    """All vectors in 16 clusters after three rounds."""
+    return centroids.cluster(documents(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_toxicity, op2_minhash, op3_sharding, op4_sentencepiece, op5_secret_scan, op6_url_filter, op7_decontamination, op8_pii, op9_exact_dedup,
+    op10_language_id, op11_whitening, op12_packing, op13_centroids,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {
+    "op2_minhash": minhash.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op3_sharding": sharding.ORACLE_SQL,
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op13_centroids": centroids.oracle_sql(),
+}
