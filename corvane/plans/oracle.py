@@ -88,9 +88,9 @@ def item_vectors(k: int, name: str = "dense") -> str:
   FROM (SELECT q.vec_id AS qid, d.vec_id AS did, {_DOT} AS score FROM embeddings q, embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= {k})"""
 
 
-def fused(top_k: int = 10) -> str:
-    """CTEs up to ``fused`` (qid, did, score, dense_score, dense_rank, bm25_rank, pos)."""
-    return f"""{bm25()}, {ranked(30)}, {item_vectors(30)},
+def fused(top_k: int = 10, fetch_k: int = 30) -> str:
+    """CTEs up to ``fused`` (qid, did, score, dense_score, dense_rank, bm25_rank, pos), from ``fetch_k`` results of each list."""
+    return f"""{bm25()}, {ranked(fetch_k)}, {item_vectors(fetch_k)},
 both_lists AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.did, b.did) AS did, coalesce(a.score, 0e0) AS dense_score, a.rank - 1 AS dense_rank, b.rank - 1 AS bm25_rank,
   round(coalesce(1e0 / (60 + a.rank), 0e0) + coalesce(1e0 / (60 + b.rank), 0e0), 12) AS score
   FROM dense a FULL JOIN sparse b ON a.qid = b.qid AND a.did = b.did),
@@ -322,14 +322,15 @@ terms AS (SELECT t, df, a, list_reduce(range((df % 2) + 2, df - 1, 2), lambda s,
   {'last': CASE WHEN df % 2 = 1 THEN cos(a) ELSE 1e0 END, 'all': CASE WHEN df % 2 = 1 THEN cos(a) ELSE 1e0 END}) AS s FROM angle)"""
 
 
+LOADED = f"""SELECT page_id::VARCHAR AS karar_id, nullif(url, '') AS kurul, '' AS hukum, {strip("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+  length(t)::INTEGER AS size, md5(t) AS digest FROM (SELECT *, {clean_html('html')} AS t FROM pages) WHERE length(t) >= 500"""
+
 ORACLE_SQL = {
     "training_pairs": training_pairs(),
     "prompts": f"""WITH {CONTEXT} SELECT b.item_id AS qid, md5(replace(replace({_s(GROUNDED_PROMPT)}, '{{question}}', b.text), '{{context}}', coalesce(context, ''))) AS grounded,
   md5(replace({_s(PLAIN_PROMPT)}, '{{question}}', b.text)) AS plain FROM benchmark b LEFT JOIN ctx ON b.item_id = ctx.qid""",
     "tokenize": f"SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS tok FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, {toks('text')} AS t FROM documents))",
-    "df_idf": f"""WITH dt AS MATERIALIZED (SELECT list_distinct({toks("text")}) AS t FROM documents), df AS MATERIALIZED (SELECT tok, count(*) AS df FROM (SELECT unnest(t) AS tok FROM dt) GROUP BY tok),
-raw AS MATERIALIZED (SELECT tok, df, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS raw FROM df, (SELECT count(*) AS n FROM dt)), m AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
-SELECT tok, df, round(CASE WHEN raw < 0 THEN 0.25e0 * mean ELSE raw END, 6) AS idf FROM raw, m""",
+    "df_idf": f"WITH {bm25()} SELECT tok, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {bm25()}, {ranked(10)} SELECT qid, did, score, rank FROM sparse",
     "bm25_run_padded": f"""WITH {bm25()}, every AS (SELECT q.qid, d.did, coalesce(s.score, 0e0) AS score FROM (SELECT DISTINCT qid FROM qt) q CROSS JOIN dt d LEFT JOIN scored s ON s.qid = q.qid AND s.did = d.did)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INTEGER AS rank FROM every) WHERE rank <= 100""",
@@ -345,8 +346,8 @@ SELECT qid, doc_id, did, score, pos FROM (SELECT *, row_number() OVER (PARTITION
   array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<li[^>]*>(.*?)</li>', 1), lambda z: {strip(squeeze("regexp_replace(z, '(?s)<[^>]*>', ' ', 'g')"))}), lambda z: regexp_matches(z, '^[A-Z]'))[1:20], '|') AS items,
   md5(body) AS body_digest, {from_last('body', ["zzz", "The ", "La "])} AS conclusion
 FROM (SELECT *, CASE WHEN contains(t, '</p>') THEN substr(t, instr(t, '</p>') + 4) ELSE t END AS body FROM (SELECT *, {clean_html('html')} AS t FROM pages))""",
-    "load_json_decisions": f"""SELECT page_id::VARCHAR AS karar_id, nullif(url, '') AS kurul, '' AS hukum, {strip("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-  length(t)::INTEGER AS size, md5(t) AS digest FROM (SELECT *, {clean_html('html')} AS t FROM pages) WHERE length(t) >= 500""",
+    "load_json_decisions": LOADED,
+    "json_array_stream": LOADED,
     "clean_markdown": f"SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM (SELECT doc_id, {clean_markdown('text')} AS t FROM documents)",
     "extract_statutes": f"SELECT doc_id, (i - 1)::INTEGER AS pos, s[i] AS statute FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT doc_id, {statutes('text')} AS s FROM documents))",
     "load_filter_truncate": rf"""SELECT doc_id::VARCHAR AS karar_id, n_chars::VARCHAR AS esas_no, lang AS tarih, coalesce(nullif(source, ''), 'Bilinmeyen') AS kurul, source AS source_label,
@@ -371,8 +372,7 @@ SELECT p.item_id::VARCHAR AS query_id, p.text AS query_text, 'semantic' AS query
     "metrics_mean": f"WITH {ONE} SELECT {mean_of(NAMES)} FROM ja",
     "metrics_keyword": f"WITH {vectors(10)}, run AS (SELECT r.qid, r.rank, (d.label = q.label)::INTEGER AS rel FROM dense r JOIN embeddings d ON r.did = d.vec_id JOIN embeddings q ON r.qid = q.vec_id) {self_ideal((1, 3, 5, 10))}",
     "metrics_gold": f"WITH {vectors(10)}, run AS (SELECT r.qid, r.rank, CASE WHEN d.label = q.label THEN 2 WHEN abs(d.label - q.label) = 1 THEN 1 ELSE 0 END AS rel FROM dense r JOIN embeddings d ON r.did = d.vec_id JOIN embeddings q ON r.qid = q.vec_id) {self_ideal((1, 5, 10))}",
-    "suite_means": f"""WITH {fused(100)}, sparse100 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INTEGER AS rank FROM scored WHERE score > 0) WHERE rank <= 100), {item_vectors(100, "dense100")},
-hy AS (SELECT qid, did, pos AS rank FROM fused), {QRELS}, {judged("sparse100", "ja")}, {judged("dense100", "jb")}, {judged("hy", "jc")}
+    "suite_means": f"""WITH {fused(100, 100)}, hy AS (SELECT qid, did, pos AS rank FROM fused), {QRELS}, {judged("sparse", "ja")}, {judged("dense", "jb")}, {judged("hy", "jc")}
 SELECT system, {mean_of(NAMES)} FROM (SELECT 'bm25' AS system, * FROM ja UNION ALL SELECT 'dense', * FROM jb UNION ALL SELECT 'hybrid', * FROM jc) GROUP BY system""",
     "error_pivot": f"""WITH {BOTH}, won AS (SELECT ja.qid, CASE WHEN ja.hit_10 > jb.hit_10 THEN 'bm25' WHEN jb.hit_10 > ja.hit_10 THEN 'dense' ELSE 'tie' END AS w FROM ja JOIN jb USING (qid))
 SELECT CASE WHEN length(text) < 150 THEN 'short' WHEN length(text) < 250 THEN 'middle' ELSE 'long' END AS type, count(*) FILTER (w = 'bm25') AS bm25, count(*) FILTER (w = 'dense') AS dense,

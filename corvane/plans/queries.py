@@ -14,7 +14,7 @@ from corvane.functions import text as T
 from corvane.operators import answers, benchmarking, dense, fusion, grounding, lexical, metrics, negatives, relevance, rerank, statistics
 from corvane.plans import evaluation, index
 from corvane.scratch import Scratch
-from corvane.sources import decisions, sinks
+from corvane.sources import decisions, json_array, sinks
 
 #: Markers, headings, statutes and keyword groups that suit the driver's texts, which have none of the defaults'.
 MARKERS = ["Licensed", "token", "The ", "La ", "Der "]
@@ -208,14 +208,26 @@ def extract_sections(spark, folder):
     return rows.select("page_id", "title", F.array_join("_i", "|").alias("items"), F.md5("body").alias("body_digest"), T.from_last(F.col("body"), ["zzz", "The ", "La "]).alias("conclusion"))
 
 
-def load_json_decisions(spark, folder):
-    """Pages in the form of JSON records through the loader."""
-    pages = table(spark, folder, "pages")
-    records = pages.select(
+def _records(spark, folder):
+    """Pages in the form of JSON records."""
+    return table(spark, folder, "pages").select(
         F.col("page_id").alias("ord"), F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("").alias("karar_html_excerpt"), F.col("html").alias("KARAR"),
         F.col("page_id").cast("string").alias("KARAR_ID"), *[F.lit(None).cast("string").alias(n) for n in ("ESAS_NO", "KARAR_NO", "KARAR_TARIHI", "HUKUM")], F.col("url").alias("KURUL_ADI"),
     )
-    made = decisions.from_json(records, limit=None)
+
+
+def load_json_decisions(spark, folder):
+    """Pages in the form of JSON records through the loader."""
+    made = decisions.from_json(_records(spark, folder), limit=None)
+    return made.select("karar_id", "kurul", "hukum", "title", F.length("text").alias("size"), F.md5("text").alias("digest"))
+
+
+def json_array_stream(spark, folder):
+    """Pages written as JSON files of one array each, and read back through the loader, split by split."""
+    place = Scratch(spark, "arrays")
+    place.table("mark", spark.range(0))
+    json_array.write(_records(spark, folder).drop("ord"), f"{place.path}/files")
+    made = decisions.from_json(decisions.json_records(spark, f"{place.path}/files"), limit=None)
     return made.select("karar_id", "kurul", "hukum", "title", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
@@ -587,7 +599,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize, df_idf, bm25_topk, bm25_run_padded, dense_topk, hybrid_rrf, dedupe_best_chunk, near_dup_first, chunk_records, clean_html,
-        extract_sections, load_json_decisions, clean_markdown, extract_statutes, load_filter_truncate, informative_passage, source_labels,
+        extract_sections, load_json_decisions, json_array_stream, clean_markdown, extract_statutes, load_filter_truncate, informative_passage, source_labels,
         silver_queries, silver_stats, bad_queries, text_norms, split_80_10_10, split_disjoint, gold_template, keyword_relevance,
         graded_relevance, metrics_qrels, metrics_mean, metrics_keyword, metrics_gold, suite_means, error_pivot, hard_neg_bm25,
         hard_neg_dense, triplets, training_pairs, bootstrap_ci, paired_bootstrap, bootstrap_ci_numpy, paired_t, multi_seed,

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corvane.functions import lexicon as lex
 from corvane.functions import text as X
+from corvane.sources import json_array
 
 _FIELDS = ["KARAR_ID", "ESAS_NO", "KARAR_NO", "KARAR_TARIHI", "KURUL_ADI", "HUKUM"]
 #: KARAR may be markup or an object that holds it, so it is read as text.
@@ -18,10 +19,8 @@ RECORD = T.StructType(
 
 
 def json_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Records of the array KARARLAR, with their place as ord; the first ``limit`` of them."""
-    whole = spark.read.schema(T.StructType([T.StructField("KARARLAR", T.ArrayType(RECORD))])).option("multiLine", True).json(path)
-    rows = whole.select(F.posexplode("KARARLAR").alias("ord", "r")).select("ord", "r.*")
-    return rows.filter(F.col("ord") < limit) if limit else rows
+    """Records of the array KARARLAR, with their place as ord; the first ``limit`` of them. A large file is read by many tasks."""
+    return json_array.parsed(json_array.records(spark, path, "KARARLAR", limit), RECORD)
 
 
 def _markup(column: Column) -> Column:
