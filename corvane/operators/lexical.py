@@ -52,6 +52,13 @@ def fit(corpus: DataFrame, did: str, text: str, tokenize=T.tokens, k1: float = 1
     return Bm25(docs, postings, idf, n, total / n if n else 0.0, k1, b, scratch)
 
 
+def idf_of(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
+    """(tok, df, idf) of document frequencies (tok, df) among ``n`` documents; what is negative becomes ``epsilon`` times the mean."""
+    raw = df.select("tok", "df", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    return raw.select("tok", "df", F.when(F.col("raw") < 0, F.lit(mean) * epsilon).otherwise(F.col("raw")).alias("idf"))
+
+
 def query_terms(queries: DataFrame, qid: str, text: str, tokenize=T.tokens) -> DataFrame:
     """(qid, tok, qf): how often a query has a token."""
     return queries.select(F.col(qid).alias("qid"), F.explode(tokenize(F.col(text))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))

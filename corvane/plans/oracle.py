@@ -332,6 +332,8 @@ ORACLE_SQL = {
     "tokenize": f"SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS tok FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, {toks('text')} AS t FROM documents))",
     "df_idf": f"WITH {bm25()} SELECT tok, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {bm25()}, {ranked(10)} SELECT qid, did, score, rank FROM sparse",
+    "bm25_pruned": f"WITH {bm25()}, {ranked(10)} SELECT qid, did, score, rank FROM sparse",
+    "streamed_bm25": f"WITH live AS (SELECT * FROM documents WHERE doc_id % 97 <> 1), {bm25('doc_id', 'live')}, {ranked(10)} SELECT qid, did, score, rank FROM sparse",
     "bm25_run_padded": f"""WITH {bm25()}, every AS (SELECT q.qid, d.did, coalesce(s.score, 0e0) AS score FROM (SELECT DISTINCT qid FROM qt) q CROSS JOIN dt d LEFT JOIN scored s ON s.qid = q.qid AND s.did = d.did)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INTEGER AS rank FROM every) WHERE rank <= 100""",
     "dense_topk": f"WITH {vectors(10)} SELECT qid, did, score, rank FROM dense",

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from corvane.functions import chunking
 from corvane.functions import lexicon as lex
 from corvane.functions import text as T
-from corvane.operators import answers, benchmarking, dense, fusion, grounding, lexical, metrics, negatives, relevance, rerank, statistics
+from corvane.operators import answers, benchmarking, dense, fusion, grounding, lexical, metrics, negatives, pruned, relevance, rerank, statistics
 from corvane.plans import evaluation, index
 from corvane.scratch import Scratch
 from corvane.sources import decisions, json_array, sinks
+from corvane.streaming import postings
 
 #: Markers, headings, statutes and keyword groups that suit the driver's texts, which have none of the defaults'.
 MARKERS = ["Licensed", "token", "The ", "La ", "Der "]
@@ -166,6 +167,30 @@ def bm25_topk(spark, folder):
     return _bm25(spark, folder, 10)
 
 
+def bm25_pruned(spark, folder):
+    """The rows of bm25_topk from blocks of postings, without those that can't hold one of the best ten."""
+    return pruned.search(pruned.build(_index(spark, folder)), table(spark, folder, "benchmark"), "item_id", "text", 10)
+
+
+def streamed_bm25(spark, folder):
+    """BM25 over statistics that a stream has kept: stale versions of every tenth document, then all documents, then a deletion of every 97th.
+
+    The result is that of the documents that are left, as if they had been indexed at once.
+    """
+    place = Scratch(spark, "postings")
+    place.table("mark", spark.range(0))
+    docs, asked = _docs(spark, folder), table(spark, folder, "benchmark")
+    stale = docs.filter("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("stale "), F.reverse("text")).alias("text"))
+    postings.upsert(stale, 0, place.path, "doc_id")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/documents.parquet")
+    query = postings.start(stream.select("doc_id", "text"), place.path, "doc_id", first=1)
+    query.awaitTermination()
+    batches = query.lastProgress.batchId + 2 if query.lastProgress else 1
+    postings.upsert(docs.filter("doc_id % 97 = 1").select("doc_id", "text", F.lit(True).alias("gone")), batches, place.path, "doc_id", deleted="gone")
+    index = postings.index(spark, place.path, vocabulary=lexical.query_terms(asked, "item_id", "text"))
+    return lexical.search(index, asked, "item_id", "text", 10)
+
+
 def bm25_run_padded(spark, folder):
     return lexical.padded_run(_index(spark, folder), table(spark, folder, "benchmark"), "item_id", "text", 100)
 
@@ -598,7 +623,7 @@ def winning_examples(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize, df_idf, bm25_topk, bm25_run_padded, dense_topk, hybrid_rrf, dedupe_best_chunk, near_dup_first, chunk_records, clean_html,
+        tokenize, df_idf, bm25_topk, bm25_pruned, streamed_bm25, bm25_run_padded, dense_topk, hybrid_rrf, dedupe_best_chunk, near_dup_first, chunk_records, clean_html,
         extract_sections, load_json_decisions, json_array_stream, clean_markdown, extract_statutes, load_filter_truncate, informative_passage, source_labels,
         silver_queries, silver_stats, bad_queries, text_norms, split_80_10_10, split_disjoint, gold_template, keyword_relevance,
         graded_relevance, metrics_qrels, metrics_mean, metrics_keyword, metrics_gold, suite_means, error_pivot, hard_neg_bm25,
