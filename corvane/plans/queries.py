@@ -182,7 +182,8 @@ def streamed_bm25(spark, folder):
     docs, asked = _docs(spark, folder), table(spark, folder, "benchmark")
     stale = docs.filter("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("stale "), F.reverse("text")).alias("text"))
     postings.upsert(stale, 0, place.path, "doc_id")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/documents.parquet")
+    # a pattern, as the file stream takes a plain path for a folder and the table may be one file
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/documents.parque[t]")
     query = postings.start(stream.select("doc_id", "text"), place.path, "doc_id", first=1)
     query.awaitTermination()
     batches = query.lastProgress.batchId + 2 if query.lastProgress else 1
