@@ -1,14 +1,16 @@
 """Exact inner-product search: blocks of queries against all vectors, as matrix products over Arrow batches.
 
-Queries are sent in blocks of at most ``block`` vectors (a few megabytes); each partition keeps its best ``k`` for a
-query before the shuffle, so what is shuffled is partitions * queries * k rows. With more than one block, a block's results are
-written to the shared folder before the next block is read, so the driver holds one block at a time.
+Up to ``block`` queries (a few megabytes) go to the tasks with the function. More of them are written to the shared folder in blocks: each task
+holds its vectors and reads block after block there, so the corpus is scanned once however many queries there are, and no query
+comes to the driver. Each task keeps its best ``k`` for a query before the shuffle, so what is shuffled is tasks * queries * k rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +56,9 @@ def search(corpus: DataFrame, did: str, vector: str, queries: DataFrame, qid: st
     rows = corpus.select(F.col(did).cast("long").alias("did"), F.col(vector).alias("v")).filter("did IS NOT NULL AND v IS NOT NULL")
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("did", T.LongType()), T.StructField("score", T.DoubleType())])
     found = None
-    for part in range(parts):
+    if parts > 1 and reachable(scratch.path):
+        found = rows.mapInArrow(_against_files(_query_files(asked, scratch, parts), k, skip_self, block), schema)
+    for part in range(parts if found is None else 0):
         held = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
         if not held:
             continue
@@ -100,6 +104,83 @@ def search(corpus: DataFrame, did: str, vector: str, queries: DataFrame, qid: st
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Bytes of vectors that a task holds while it reads all queries.
+HELD = 64 << 20
+
+
+def reachable(path: str) -> bool:
+    """Whether Arrow's file systems know the shared folder's kind. Where they don't, queries go through the driver, a block and a scan at a time."""
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def _query_files(asked: DataFrame, scratch: Scratch, parts: int) -> list[str]:
+    """The queries in shared files, about one block each."""
+    return sorted(scratch.table("queries", asked.repartition(parts, "qid")).inputFiles())
+
+
+def _by_width(ids: np.ndarray, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each length."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    out = {}
+    for width in np.unique(lengths).tolist():
+        fits = pa.array(lengths == width)
+        values = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False)
+        out[width] = ids[lengths == width], values.astype(np.float64).reshape(int((lengths == width).sum()), width)
+    return out
+
+
+def _against_files(files: list[str], k: int, skip_self: bool, block: int):
+    """The function of a task: its vectors, at most ``HELD`` bytes at once, against the blocks in the files one after another."""
+
+    def blocks():
+        for path in files:
+            system, name = fs.FileSystem.from_uri(path)
+            with system.open_input_file(name) as file:
+                for batch in pq.ParquetFile(file).iter_batches(block):
+                    yield batch.column("qid").to_numpy(), batch.column("v")
+
+    def best_of(held: list):
+        every = np.concatenate([b.column("did").to_numpy() for b in held])
+        corpus = _by_width(every, pa.concat_arrays([b.column("v") for b in held]))
+        for qids, vectors in blocks():
+            for width, (ids, matrix) in _by_width(qids, vectors).items():
+                if width not in corpus:
+                    continue
+                kept, (own, values) = [], corpus[width]
+                step = max(k + 1, SCORES // len(ids))
+                for at in range(0, len(own), step):
+                    score = np.round(values[at : at + step] @ matrix.T, 6)
+                    if skip_self:
+                        score[own[at : at + step, None] == ids] = -np.inf
+                    good = np.isfinite(score)
+                    if len(score) > k:  # all that reach the k-th best score, ties too
+                        good &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k]
+                    row, q = np.nonzero(good)
+                    kept.append((ids[q], own[at : at + step][row], score[row, q]))
+                    if len(kept) > 8:
+                        kept = [_trim(kept, k)]
+                if kept:
+                    q, d, s = _trim(kept, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["qid", "did", "score"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > HELD:
+                yield from best_of(held)
+                held, size = [], 0
+        if sum(b.num_rows for b in held):
+            yield from best_of(held)
+
+    return run
+
+
 def _trim(kept, k: int):
     """The best ``k`` of each query among the kept ones."""
     q, d, s = (np.concatenate(x) for x in zip(*kept, strict=True))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import lexical
-from corvane.scratch import Scratch
+from corvane.scratch import Scratch, sweep
 
 #: Scores are rounded to six places before they rank; a bound that misses the threshold by less than this stays.
 MARGIN = 2e-6
@@ -30,17 +30,28 @@ class Blocks:
     scratch: Scratch
 
 
-def build(index: lexical.Bm25, docs_per_block: int = 512) -> Blocks:
-    """Blocks of about ``docs_per_block`` documents. Postings are written in the order of tokens, so that a token's rows lie in few files."""
-    scratch = Scratch(index.postings.sparkSession, "blocks")
+def build(index: lexical.Bm25, docs_per_block: int = 512, vocabulary: DataFrame | None = None) -> Blocks:
+    """Blocks of about ``docs_per_block`` documents, each file in the order of tokens, so that a token's rows lie together.
+
+    With a ``vocabulary`` (tok), for searches whose tokens are all in it, other tokens' postings are left out before the shuffle.
+    """
+    spark = index.postings.sparkSession
+    scratch = Scratch(spark, "blocks")
+    sweep(spark)  # the shuffle that made the postings may go before they are shuffled again
+    idf = index.idf.select("tok", "idf")
+    if vocabulary is not None:
+        words = vocabulary.select("tok").distinct()
+        small = lexical.size_of(words) < lexical.SMALL
+        idf = idf.join(F.broadcast(words) if small else words, "tok", "left_semi")
+        idf = F.broadcast(idf) if small else idf
     count = max(1, -(-index.n // docs_per_block))
     norm = F.col("tf") + index.k1 * (1 - index.b + index.b * F.col("dl") / F.lit(index.avgdl or 1.0))
     part = F.col("idf") * F.col("tf") * (index.k1 + 1) / norm
-    rows = index.postings.join(index.idf.select("tok", "idf"), "tok").select("tok", F.pmod(F.xxhash64("did"), F.lit(count)).alias("blk"), F.struct("did", part.alias("part")).alias("p"))
+    rows = index.postings.join(idf, "tok").select("tok", F.pmod(F.xxhash64("did"), F.lit(count)).alias("blk"), F.struct("did", part.alias("part")).alias("p"))
     # a block holds few documents, so its list is short whatever the token
     made = rows.groupBy("tok", "blk").agg(F.collect_list("p").alias("found"))
     made = made.select("tok", "blk", F.size("found").cast("long").alias("n"), F.array_max(F.transform("found", lambda p: p.part)).alias("most"), "found")
-    made = scratch.table("postings", made.repartitionByRange("tok", "blk").sortWithinPartitions("tok", "blk"))
+    made = scratch.table("postings", made.sortWithinPartitions("tok", "blk"))
     return Blocks(made.select("tok", "blk", "n", "most"), made.select("tok", "blk", "found"), scratch)
 
 

@@ -2,7 +2,7 @@
 
 The resampling is relational: draw i of resample b takes the row numbered md5(b|i) modulo n, so any engine
 repeats it. Resamples are split over the cluster; each draw is a lookup in the numbered values, which are as
-many as there are queries. A numpy twin (with a seeded generator) runs once for each group.
+many as there are queries. A numpy twin gives what one seeded generator gives in a loop, its resamples split over tasks.
 """
 
 from __future__ import annotations
@@ -85,17 +85,93 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, value: str, resamples: int = 10
     return out.select(*[F.round(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(c) for c in ("diff_mean", "p_value", "ci_lo", "ci_hi")])
 
 
-def bootstrap_ci_numpy(values: DataFrame, value: str, by: str, resamples: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """(by, mean, lo, hi) with a seeded generator, one group of queries at a time."""
+#: 64-bit outputs of the generator that one task of the first pass looks at.
+OUTPUTS = 1 << 20
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        v = group[value].astype(float).to_numpy()
-        rng = np.random.default_rng(seed)
-        means = np.array([rng.choice(v, size=len(v), replace=True).mean() for _ in range(resamples)]) if len(v) else np.zeros(1)
-        lo, hi = np.percentile(means, [50 * (1 - ci), 50 * (1 + ci)])
-        return pd.DataFrame({by: [group[by].iloc[0]], "mean": [v.mean() if len(v) else 0.0], "lo": [lo], "hi": [hi]})
 
-    return values.select(by, value).groupBy(by).applyInPandas(run, f"{by} {dict(values.dtypes)[by]}, mean double, lo double, hi double")
+def _words(seed: int, first: int, count: int) -> np.ndarray:
+    """The 32-bit words of the generator's outputs from ``first`` on, in the order in which bounded draws take them."""
+    bits = np.random.PCG64(seed).advance(first)
+    raw = bits.random_raw(count)
+    return np.stack([raw & np.uint64(0xFFFFFFFF), raw >> np.uint64(32)], 1).ravel()
+
+
+def _accepted(seed: int, n: int, first: int, count: int) -> np.ndarray:
+    """Which of the words give a draw below ``n``; the others are drawn again. A word w is taken if w * n mod 2**32 is at least 2**32 mod n."""
+    return (_words(seed, first, count) * np.uint64(n) & np.uint64(0xFFFFFFFF)) >= np.uint64(2**32 % n)
+
+
+def generator_at(seed: int, word: int) -> np.random.Generator:
+    """The seeded generator after ``word`` words have been drawn."""
+    bits = np.random.PCG64(seed).advance(word // 2)
+    if word % 2:  # the upper half of the next output is still to come
+        high = int(bits.random_raw()) >> 32
+        state = bits.state
+        bits.state = state | {"has_uint32": 1, "uinteger": high}
+    return np.random.Generator(bits)
+
+
+def _first_words(spark, sizes: list[int], resamples: int, seed: int, tasks: int) -> dict[int, list[tuple[int, int, int]]]:
+    """For each number of values: (first resample, one behind the last, word of the first draw), a task each.
+
+    A draw takes a word, or more when one is turned down, so where a resample begins depends on the words before. Tasks count the
+    words taken in ``OUTPUTS`` outputs each; the counts, a number for each task, tell in which stretch a resample begins.
+    """
+    bounds = sorted({resamples * t // tasks for t in range(tasks + 1)})
+    ranges = list(zip(bounds, bounds[1:]))
+    out = {n: [(a, b, a * n) for a, b in ranges] for n in sizes if n < 2 or 2**32 % n == 0}
+    todo = [n for n in sizes if n not in out]
+    if not todo:
+        return out
+    stretches = [(n, i) for n in todo for i in range(int(resamples * n / (2 * (1 - (2**32 % n) / 2**32)) * 1.001) // OUTPUTS + 2)]
+
+    def count(frames):
+        for f in frames:
+            f["taken"] = [int(_accepted(seed, n, i * OUTPUTS, OUTPUTS).sum()) for n, i in zip(f["n"], f["i"], strict=True)]
+            yield f
+
+    counted = spark.createDataFrame(stretches, "n long, i long").repartition(len(stretches), "n", "i").mapInPandas(count, "n long, i long, taken long").collect()
+    for n in todo:
+        before, rows = 0, iter(sorted((r.i, r.taken) for r in counted if r.n == n))
+        i, taken = next(rows)
+        out[n] = []
+        for a, b in ranges:
+            while before + taken <= a * n:
+                before, (i, taken) = before + taken, next(rows)
+            # the words before it that are turned down right at its beginning may as well be its own
+            place = np.flatnonzero(_accepted(seed, n, i * OUTPUTS, OUTPUTS))[a * n - before]
+            out[n].append((a, b, 2 * i * OUTPUTS + int(place)))
+    return out
+
+
+def bootstrap_ci_numpy(values: DataFrame, value: str, by: str, resamples: int = 10_000, ci: float = 0.95, seed: int = 42, key: str = "qid", tasks: int = 32) -> DataFrame:
+    """(by, mean, lo, hi) with numpy's seeded generator, bit for bit what one loop over all resamples gives for the values in the order of ``key``.
+
+    The resamples of a group are split over ``tasks`` tasks; each begins with the generator in the state that the loop would have reached. A
+    group's values, one for each query, travel to its tasks as one array; groups without values have no row.
+    """
+    spark = values.sparkSession
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("double").alias("v")))), lambda p: p.v)
+    groups = Scratch(spark, "bootstrap").table("groups", values.groupBy(by).agg(ordered.alias("v")).withColumn("n", F.size("v").cast("long")))
+    sizes = [r.n for r in groups.select("n").distinct().collect()]
+    plan = [(n, a, b, w) for n, rows in _first_words(spark, sizes, resamples, seed, tasks).items() for a, b, w in rows]
+
+    def run(frames):
+        for f in frames:
+            for row in f.itertuples(index=False):
+                v, rng = np.asarray(row.v, float), generator_at(seed, row.word)
+                means = [rng.choice(v, size=len(v), replace=True).mean() for _ in range(row.begin, row.end)]
+                yield pd.DataFrame({by: [getattr(row, by)], "begin": [row.begin], "mean": [v.mean()], "means": [means]})
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        means = np.concatenate([np.asarray(m) for m in group.sort_values("begin")["means"]])
+        lo, hi = np.percentile(means, [(1 - ci) / 2 * 100, (1 + ci) / 2 * 100])
+        return pd.DataFrame({by: [group[by].iloc[0]], "mean": [group["mean"].iloc[0]], "lo": [lo], "hi": [hi]})
+
+    kind = dict(values.dtypes)[by]
+    dealt = groups.join(F.broadcast(spark.createDataFrame(plan, "n long, begin long, end long, word long")), "n").repartition(max(tasks, 1), by, "begin")
+    parts = dealt.select(by, "v", "begin", "end", "word").mapInPandas(run, f"{by} {kind}, begin long, mean double, means array<double>")
+    return parts.groupBy(by).applyInPandas(finish, f"{by} {kind}, mean double, lo double, hi double")
 
 
 def _student_tail(t: float, df: float) -> float:

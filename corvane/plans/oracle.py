@@ -336,6 +336,7 @@ ORACLE_SQL = {
     "streamed_bm25": f"WITH live AS (SELECT * FROM documents WHERE doc_id % 97 <> 1), {bm25('doc_id', 'live')}, {ranked(10)} SELECT qid, did, score, rank FROM sparse",
     "bm25_run_padded": f"""WITH {bm25()}, every AS (SELECT q.qid, d.did, coalesce(s.score, 0e0) AS score FROM (SELECT DISTINCT qid FROM qt) q CROSS JOIN dt d LEFT JOIN scored s ON s.qid = q.qid AND s.did = d.did)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INTEGER AS rank FROM every) WHERE rank <= 100""",
+    "dense_one_scan": f"WITH {vectors(10)} SELECT qid, did, score, rank FROM dense",
     "dense_topk": f"WITH {vectors(10)} SELECT qid, did, score, rank FROM dense",
     "hybrid_rrf": f"WITH {fused()} SELECT qid, did, pos, round(score, 9) AS score, dense_score, dense_rank::INTEGER AS dense_rank, bm25_rank::INTEGER AS bm25_rank FROM fused",
     "dedupe_best_chunk": f"""WITH {passages()}, pd AS (SELECT doc_id * 100000 + chunk_idx AS did, text FROM passages), {bm25("did", "pd")}, {ranked(200)},

@@ -169,7 +169,9 @@ def bm25_topk(spark, folder):
 
 def bm25_pruned(spark, folder):
     """The rows of bm25_topk from blocks of postings, without those that can't hold one of the best ten."""
-    return pruned.search(pruned.build(_index(spark, folder)), table(spark, folder, "benchmark"), "item_id", "text", 10)
+    asked = table(spark, folder, "benchmark")
+    blocks = pruned.build(_index(spark, folder), vocabulary=lexical.query_terms(asked, "item_id", "text"))
+    return pruned.search(blocks, asked, "item_id", "text", 10)
 
 
 def streamed_bm25(spark, folder):
@@ -200,6 +202,12 @@ def dense_topk(spark, folder):
     return _vectors(spark, folder, 10)
 
 
+def dense_one_scan(spark, folder):
+    """The rows of dense_topk with the queries in blocks of about four in shared files and one scan of the vectors."""
+    rows = table(spark, folder, "embeddings")
+    return dense.search(rows, "vec_id", "embedding", rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10, True, block=4)
+
+
 def hybrid_rrf(spark, folder):
     return _fused(spark, folder).select("qid", "did", "pos", F.round("score", 9).alias("score"), "dense_score", F.col("dense_rank").cast("int").alias("dense_rank"), F.col("bm25_rank").cast("int").alias("bm25_rank"))
 
@@ -624,7 +632,7 @@ def winning_examples(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize, df_idf, bm25_topk, bm25_pruned, streamed_bm25, bm25_run_padded, dense_topk, hybrid_rrf, dedupe_best_chunk, near_dup_first, chunk_records, clean_html,
+        tokenize, df_idf, bm25_topk, bm25_pruned, streamed_bm25, bm25_run_padded, dense_topk, dense_one_scan, hybrid_rrf, dedupe_best_chunk, near_dup_first, chunk_records, clean_html,
         extract_sections, load_json_decisions, json_array_stream, clean_markdown, extract_statutes, load_filter_truncate, informative_passage, source_labels,
         silver_queries, silver_stats, bad_queries, text_norms, split_80_10_10, split_disjoint, gold_template, keyword_relevance,
         graded_relevance, metrics_qrels, metrics_mean, metrics_keyword, metrics_gold, suite_means, error_pivot, hard_neg_bm25,

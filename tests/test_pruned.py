@@ -27,7 +27,7 @@ def test_equals_full_search(spark, k, size, seeds):
 def test_reads_fewer_postings(spark):
     """All items over the whole table: under half of their postings is read for the best document, and rows are those of the full search."""
     index, asked = queries._index(spark, FOLDER), queries.table(spark, FOLDER, "benchmark")
-    blocks = pruned.build(index, 16)
+    blocks = pruned.build(index, 16, lexical.query_terms(asked, "item_id", "text"))
     got, work = pruned.run(blocks, asked, "item_id", "text", 1, 2)
     key = lambda r: (r.qid, r.did, r.score, r["rank"])
     assert sorted(map(key, got.collect())) == sorted(map(key, lexical.search(index, asked, "item_id", "text", 1).collect()))
