@@ -322,6 +322,8 @@ terms AS (SELECT t, df, a, list_reduce(range((df % 2) + 2, df - 1, 2), lambda s,
   {'last': CASE WHEN df % 2 = 1 THEN cos(a) ELSE 1e0 END, 'all': CASE WHEN df % 2 = 1 THEN cos(a) ELSE 1e0 END}) AS s FROM angle)"""
 
 
+WHOLE = f"""{passages()}, firsts AS (SELECT doc_id, text, min(chunk_idx) AS i FROM passages GROUP BY doc_id, text), whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS t FROM firsts GROUP BY doc_id)"""
+
 LOADED = f"""SELECT page_id::VARCHAR AS karar_id, nullif(url, '') AS kurul, '' AS hukum, {strip("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
   length(t)::INTEGER AS size, md5(t) AS digest FROM (SELECT *, {clean_html('html')} AS t FROM pages) WHERE length(t) >= 500"""
 
@@ -356,6 +358,8 @@ FROM (SELECT *, CASE WHEN contains(t, '</p>') THEN substr(t, instr(t, '</p>') +
     "load_filter_truncate": rf"""SELECT doc_id::VARCHAR AS karar_id, n_chars::VARCHAR AS esas_no, lang AS tarih, coalesce(nullif(source, ''), 'Bilinmeyen') AS kurul, source AS source_label,
   coalesce(nullif(source, ''), 'Bilinmeyen') || ' - E. ' || coalesce(n_chars::VARCHAR, 'None') || ', K. None' AS title, '' AS konu, length(t)::INTEGER AS size, md5(t) AS digest
 FROM (SELECT *, substr(m, 1, 15000) AS t FROM (SELECT *, {clean_markdown('text')} AS m FROM documents) WHERE length(m) >= 500)""",
+    "load_counts": f"""SELECT unnest(['seen', 'kept', 'short', 'cut']) AS name, unnest([count(*), count(*) FILTER (n >= 500), count(*) FILTER (n < 500), count(*) FILTER (n > 15000)]) AS n
+FROM (SELECT length({clean_markdown('text')}) AS n FROM documents)""",
     "informative_passage": f"SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM (SELECT doc_id, {passage_of('x', MARKERS)} AS t FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))",
     "source_labels": f"SELECT coalesce({LABELS}[source], source) AS label, count(*) AS n FROM documents GROUP BY 1",
     "silver_queries": f"WITH {candidates()} SELECT qid, did, text, type FROM silver",
@@ -398,8 +402,9 @@ r AS (SELECT item_id AS qid, CASE WHEN coalesce(n, 0) < 1 THEN {_s(lex.TOO_FEW)}
     "result_summary": f"WITH {SUMMARY} SELECT * FROM summary",
     "summary_html": f"""WITH {SUMMARY} SELECT qid, concat_ws('<br>', '<b>' || n_results || '</b> emsal ' || CASE WHEN board_count > 1 THEN 'çoğunlukla <b>' || board || '</b>' ELSE '<b>' || n_boards || ' farklı daireden</b>' END || ' geldi.',
   CASE WHEN verdicts <> '' THEN '<b>Hüküm dağılımı:</b> ' || verdicts END, CASE WHEN statutes <> '' THEN '<b>Sık atıf:</b> ' || statutes END) AS html FROM summary""",
-    "full_text": f"""WITH {passages()}, firsts AS (SELECT doc_id, text, min(chunk_idx) AS i FROM passages GROUP BY doc_id, text), whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS t FROM firsts GROUP BY doc_id)
-SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM whole""",
+    "full_text": f"WITH {WHOLE} SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM whole",
+    "full_text_bucketed": f"WITH {WHOLE} SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM whole",
+    "hit_texts_bucketed": f"WITH {WHOLE}, {bm25()}, {ranked(10)} SELECT qid, did, rank, length(t)::INTEGER AS size, md5(t) AS digest FROM sparse JOIN whole ON did = doc_id",
     "snippet": f"WITH {bm25()}, {ranked(10)}, {HITS} SELECT qid, did, {snippet('text', toks('query'))} AS snippet FROM hits",
     "context": f"WITH {CONTEXT} SELECT qid, context, n_docs FROM ctx",
     "citations": rf"""WITH {QA}, c AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(answer, '\[Karar\s+(\d+)\]', 1), lambda z: z::INTEGER)) AS c FROM qa), v AS (SELECT *, len(list_filter(c, lambda z: z BETWEEN 1 AND 3)) AS ok FROM c)

@@ -5,10 +5,10 @@ Queries run over whole tables. Search queries are all benchmark items, or the ve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import chunking
+from corvane.functions import chunking, markup
 from corvane.functions import lexicon as lex
 from corvane.functions import text as T
 from corvane.operators import answers, benchmarking, dense, fusion, grounding, lexical, metrics, negatives, pruned, relevance, rerank, statistics
@@ -235,6 +235,12 @@ def clean_html(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.length(plain).alias("size"), F.md5(plain).alias("digest"))
 
 
+def clean_html_parsed(spark, folder):
+    """Text of every page by the parser."""
+    plain = markup.parsed_html(F.col("html"))
+    return table(spark, folder, "pages").select("page_id", plain.alias("t")).select("page_id", F.length("t").alias("size"), F.md5("t").alias("digest"))
+
+
 def extract_sections(spark, folder):
     """Title, matching list items, and 2000 characters from the last of the first marker that occurs."""
     plain = T.clean_html(F.col("html"))
@@ -279,6 +285,13 @@ def load_filter_truncate(spark, folder):
     return made.select("karar_id", "esas_no", "tarih", "kurul", "source_label", "title", "konu", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
+def load_counts(spark, folder):
+    """How many records the loader has seen, kept, left out as too short and cut, observed while it ran."""
+    counts = Observation("load")
+    decisions.from_hub(_hub(spark, folder), n=None, counts=counts).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(sorted(counts.get.items()), "name string, n long")
+
+
 def informative_passage(spark, folder):
     passage = T.informative_passage(F.coalesce("text", F.lit("")), MARKERS)
     return _docs(spark, folder).select("doc_id", F.length(passage).alias("size"), F.md5(passage).alias("digest"))
@@ -452,6 +465,27 @@ def full_text(spark, folder):
     return made.select("doc_id", F.length("full_text").alias("size"), F.md5("full_text").alias("digest"))
 
 
+def _bucketed(spark, folder):
+    """All passages as an index of buckets by document."""
+    place = Scratch(spark, "buckets")
+    place.table("mark", spark.range(0))
+    made = _passages(spark, folder).withColumnRenamed("doc_id", "karar_id")
+    return sinks.write_bucketed_index(made, f"passages_{place.path[-32:]}", f"{place.path}/files", 24)
+
+
+def full_text_bucketed(spark, folder):
+    """full_text from the bucketed index: the passages aren't shuffled again."""
+    made = answers.full_text(_bucketed(spark, folder))
+    return made.select(F.col("karar_id").alias("doc_id"), F.length("full_text").alias("size"), F.md5("full_text").alias("digest"))
+
+
+def hit_texts_bucketed(spark, folder):
+    """The whole text of each BM25 hit from the bucketed index; only the hits are dealt by document."""
+    index = answers.full_text(_bucketed(spark, folder))
+    hits = _bm25(spark, folder, 10).select("qid", "rank", F.col("did").alias("karar_id"))
+    return hits.join(index, "karar_id").select("qid", F.col("karar_id").alias("did"), "rank", F.length("full_text").alias("size"), F.md5("full_text").alias("digest"))
+
+
 def snippet(spark, folder):
     """The first BM25 hits' snippets around the item's words."""
     hits = _bm25(spark, folder, 10).join(_asked(spark, folder), "qid").join(_docs(spark, folder).select(F.col("doc_id").alias("did"), "text"), "did")
@@ -632,12 +666,12 @@ def winning_examples(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize, df_idf, bm25_topk, bm25_pruned, streamed_bm25, bm25_run_padded, dense_topk, dense_one_scan, hybrid_rrf, dedupe_best_chunk, near_dup_first, chunk_records, clean_html,
-        extract_sections, load_json_decisions, json_array_stream, clean_markdown, extract_statutes, load_filter_truncate, informative_passage, source_labels,
+        tokenize, df_idf, bm25_topk, bm25_pruned, streamed_bm25, bm25_run_padded, dense_topk, dense_one_scan, hybrid_rrf, dedupe_best_chunk, near_dup_first, chunk_records, clean_html, clean_html_parsed,
+        extract_sections, load_json_decisions, json_array_stream, clean_markdown, extract_statutes, load_filter_truncate, load_counts, informative_passage, source_labels,
         silver_queries, silver_stats, bad_queries, text_norms, split_80_10_10, split_disjoint, gold_template, keyword_relevance,
         graded_relevance, metrics_qrels, metrics_mean, metrics_keyword, metrics_gold, suite_means, error_pivot, hard_neg_bm25,
         hard_neg_dense, triplets, training_pairs, bootstrap_ci, paired_bootstrap, bootstrap_ci_numpy, paired_t, multi_seed,
-        comparison_report, significance_grid, abstain_rrf, abstain_cosine, confidence, result_summary, summary_html, full_text, snippet,
+        comparison_report, significance_grid, abstain_rrf, abstain_cosine, confidence, result_summary, summary_html, full_text, full_text_bucketed, hit_texts_bucketed, snippet,
         marked_snippet, answer_cards, markdown_answer, context, prompts, citations, claims, faithfulness, safety_comparison, reranked,
         index_stats, index_build, query_types, mean_pooling, masked_mean_pooling, chunk_dense_run, hybrid_grouped, near_dup_results,
         config_matrix, gold_evaluation, eyeball, beir_round_trip, index_round_trip, results_round_trip, comparison_table, winning_examples,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +52,18 @@ def from_json(records: DataFrame, limit: int | None = 3000, least: int = 500) ->
     return made.orderBy("ord").limit(limit) if limit else made
 
 
-def from_hub(rows: DataFrame, n: int | None = 3000, least: int = 500, most: int = 15_000) -> DataFrame:
-    """Decisions of hub records (id, esasNo, kararNo, kararTarihi, source, text, ord): cleaned, long enough, cut, with metadata."""
-    kept = rows.withColumn("text", X.clean_markdown(F.col("text"))).filter(F.length("text") >= least).withColumn("text", F.substring("text", 1, most))
+def from_hub(rows: DataFrame, n: int | None = 3000, least: int = 500, most: int = 15_000, counts: Observation | None = None) -> DataFrame:
+    """Decisions of hub records (id, esasNo, kararNo, kararTarihi, source, text, ord): cleaned, long enough, cut, with metadata.
+
+    ``counts`` observes the scan itself: seen, kept, short (left out) and cut records of what an action has read, once it is done. With ``n``,
+    an action may stop before it has read all.
+    """
+    clean = rows.withColumn("text", X.clean_markdown(F.col("text")))
+    if counts is not None:
+        size = F.length("text")
+        tally = {"seen": F.lit(True), "kept": size >= least, "short": size < least, "cut": size > most}
+        clean = clean.observe(counts, *[F.count_if(c).alias(name) for name, c in tally.items()])
+    kept = clean.filter(F.length("text") >= least).withColumn("text", F.substring("text", 1, most))
     board = X.chamber(F.col("text"), F.col("source"))
     made = kept.select(
         "ord",
@@ -96,6 +105,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_bucketed_index(spark: SparkSession, name: str, path: str, buckets: int = 64, key: str = "karar_id") -> DataFrame:
+    """The table that ``sinks.write_bucketed_index`` wrote, entered in this session's catalogue with the same buckets and key."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}, chunk_idx) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(config, metric, value) of a result file: scores with three places, latencies (names that end in _ms) with none."""
     rows = spark.read.schema("config string, agg map<string, double>").option("multiLine", True).json(path)

@@ -11,6 +11,19 @@ def write_index(chunks: DataFrame, path: str, buckets: int | None = None) -> Non
     (chunks.repartition(buckets, "karar_id") if buckets else chunks).write.mode("overwrite").parquet(path)
 
 
+def write_bucketed_index(chunks: DataFrame, name: str, path: str, buckets: int = 64, key: str = "karar_id") -> DataFrame:
+    """The index as a table of ``buckets`` buckets by document at ``path``, each one file in the order of its passages; returns its rows.
+
+    Grouping by the key, or joining on it, plans without an exchange of the table. Its entry in the session's catalogue is ``name``; another
+    session reads the same files with ``decisions.read_bucketed_index``.
+    """
+    spark = chunks.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt = chunks.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key, "chunk_idx").option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
 def write_beir(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, folder: str) -> DataFrame:
     """corpus.jsonl, queries.jsonl, qrels.tsv and stats.json below ``folder``; returns the stats."""
     meta = F.struct(*[c for c in ("kurul", "esas_no", "karar_no", "tarih") if c in corpus.columns])
