@@ -329,6 +329,10 @@ LOADED = f"""SELECT page_id::VARCHAR AS karar_id, nullif(url, '') AS kurul, '' A
 
 ORACLE_SQL = {
     "training_pairs": training_pairs(),
+    "training_batches": f"""WITH tp AS ({training_pairs()}), counts AS (SELECT karar_id, count(*) AS n FROM tp GROUP BY karar_id),
+b AS (SELECT greatest(ceil(sum(n) / 32e0)::BIGINT, max(n), 1) AS b FROM counts),
+placed AS (SELECT karar_id, query, row_number() OVER (PARTITION BY karar_id ORDER BY md5(query || '|42')) - 1 AS j FROM tp)
+SELECT karar_id, md5(query) AS query, (('0x' || substr(md5(karar_id || '|42'), 1, 7))::BIGINT + j) % b AS batch FROM placed, b""",
     "prompts": f"""WITH {CONTEXT} SELECT b.item_id AS qid, md5(replace(replace({_s(GROUNDED_PROMPT)}, '{{question}}', b.text), '{{context}}', coalesce(context, ''))) AS grounded,
   md5(replace({_s(PLAIN_PROMPT)}, '{{question}}', b.text)) AS plain FROM benchmark b LEFT JOIN ctx ON b.item_id = ctx.qid""",
     "tokenize": f"SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS tok FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, {toks('text')} AS t FROM documents))",

@@ -5,13 +5,15 @@ Queries run over whole tables. Search queries are all benchmark items, or the ve
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import chunking, markup
 from corvane.functions import lexicon as lex
 from corvane.functions import text as T
-from corvane.operators import answers, benchmarking, dense, fusion, grounding, lexical, metrics, negatives, pruned, relevance, rerank, statistics
+from corvane.operators import answers, benchmarking, contrastive, dense, fusion, grounding, lexical, metrics, negatives, pruned, relevance, rerank, statistics
 from corvane.plans import evaluation, index
 from corvane.scratch import Scratch
 from corvane.sources import decisions, json_array, sinks
@@ -60,9 +62,12 @@ def _index(spark, folder):
     A table whose files change is indexed again, and so is one whose statistics were deleted.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    key = (spark.sparkContext.applicationId, folder, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = spark.sparkContext._jvm.java.util.Arrays.toString(files)  # names, lengths and times of all files, in one call
+    key = (spark.sparkContext.applicationId, folder, hashlib.sha256(state.encode()).hexdigest())
     if key not in _indexes or not _indexes[key].scratch.exists():
+        for old in [k for k in _indexes if k[:2] == key[:2]]:  # of the files as they were
+            _indexes.pop(old).scratch.drop()
         _indexes[key] = lexical.fit(_docs(spark, folder), "doc_id", "text")
     return _indexes[key]
 
@@ -409,6 +414,12 @@ def training_pairs(spark, folder):
     return made.select("karar_id", "query", F.length("passage").alias("size"), F.md5("passage").alias("digest"))
 
 
+def training_batches(spark, folder):
+    """Training pairs in batches of about 32 for in-batch negatives; no document is twice in one."""
+    made = benchmarking.training_pairs(_decisions(spark, folder), heading=HEADING, subject=SUBJECT)
+    return contrastive.in_batches(made, "query", "karar_id").select("karar_id", F.md5("query").alias("query"), "batch")
+
+
 def bootstrap_ci(spark, folder):
     return statistics.bootstrap_ci(_judged(spark, folder), "ndcg_10")
 
@@ -670,7 +681,7 @@ QUERIES = {
         extract_sections, load_json_decisions, json_array_stream, clean_markdown, extract_statutes, load_filter_truncate, load_counts, informative_passage, source_labels,
         silver_queries, silver_stats, bad_queries, text_norms, split_80_10_10, split_disjoint, gold_template, keyword_relevance,
         graded_relevance, metrics_qrels, metrics_mean, metrics_keyword, metrics_gold, suite_means, error_pivot, hard_neg_bm25,
-        hard_neg_dense, triplets, training_pairs, bootstrap_ci, paired_bootstrap, bootstrap_ci_numpy, paired_t, multi_seed,
+        hard_neg_dense, triplets, training_pairs, training_batches, bootstrap_ci, paired_bootstrap, bootstrap_ci_numpy, paired_t, multi_seed,
         comparison_report, significance_grid, abstain_rrf, abstain_cosine, confidence, result_summary, summary_html, full_text, full_text_bucketed, hit_texts_bucketed, snippet,
         marked_snippet, answer_cards, markdown_answer, context, prompts, citations, claims, faithfulness, safety_comparison, reranked,
         index_stats, index_build, query_types, mean_pooling, masked_mean_pooling, chunk_dense_run, hybrid_grouped, near_dup_results,
