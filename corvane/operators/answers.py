@@ -122,7 +122,5 @@ def markdown_answer(queries: DataFrame, results: DataFrame, most: int = 5) -> Da
     )
     body = rows.select("qid", "pos", card.alias("card")).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "card"))).alias("_c"))
     head = F.concat(F.lit("### Sorgu\n> "), F.col("query"), F.lit("\n\n**Bulunan "), F.size("_c").cast("string"), F.lit(" ilgili Yargıtay kararı:**\n\n"))
-    note = "\n---\n_⚠ Not: Yukarıdaki sonuçlar Yargıtay kararları üzerinden retrieval ile getirilmiştir. Hukuki tavsiye değildir; bağlayıcı yorum için ilgili kararın tam metnine başvurunuz._"
-    sorry = "**Üzgünüm, bu soruyla ilgili veri tabanımda eşleşen bir Yargıtay kararı bulamadım.**"
-    whole = F.concat(head, F.array_join(F.transform("_c", lambda x: x.card), "\n"), F.lit(note))
-    return queries.select("qid", "query").join(body, "qid", "left").select("qid", F.when(F.col("_c").isNull(), F.lit(sorry)).otherwise(whole).alias("answer"))
+    whole = F.concat(head, F.array_join(F.transform("_c", lambda x: x.card), "\n"), F.lit(lex.ANSWER_NOTE))
+    return queries.select("qid", "query").join(body, "qid", "left").select("qid", F.when(F.col("_c").isNull(), F.lit(lex.NO_ANSWER)).otherwise(whole).alias("answer"))

@@ -422,6 +422,13 @@ SELECT qid, CASE WHEN len(c) > 0 THEN round(coalesce(ok, 0) / len(c)::DOUBLE, 6)
     "reranked": f"""WITH {bm25()}, {ranked(20)}, {HITS}, s AS (SELECT qid, did, rank AS was, list_distinct({toks('query')}) AS w, {toks('substr(text, 1, 1500)')} AS t FROM hits),
 o AS (SELECT qid, did, was, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda z: list_contains(t, z))) / len(w)::DOUBLE ELSE 0e0 END, 6) AS score FROM s)
 SELECT qid, did, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, was, did)::INTEGER AS rank FROM o) WHERE rank <= 5""",
+    "index_build": f"WITH {passages()} SELECT doc_id, chunk_idx, n_chunks, 64 AS width, CASE WHEN len({toks("'passage: ' || text")}) > 0 THEN 1e0 ELSE 0e0 END AS norm FROM passages",
+    "markdown_answer": f"""WITH {RESULTS}, cards AS (SELECT qid, b.text AS query, count(*) AS n, string_agg(concat('---', chr(10), '**[', pos, '] ', coalesce(nullif(kurul, ''), 'Bilinmeyen Kurul'), ' — E. ', esas_no,
+  ', K. ', coalesce(nullif(karar_no, ''), '?'), ' (?)**  ', chr(10), 'İlgili mevzuat: ', CASE WHEN len(kanunlar) > 0 THEN array_to_string(kanunlar[1:3], '; ') ELSE '—' END, '  ', chr(10), 'Skor: ', printf('%.3f', score), '  ',
+  chr(10), chr(10), '> ', {strip(squeeze(snippet("coalesce(r.text, '')", toks("b.text"), 500)))}, chr(10)), chr(10) ORDER BY pos) AS body
+  FROM results r JOIN benchmark b ON qid = item_id WHERE pos <= 5 GROUP BY qid, b.text)
+SELECT item_id AS qid, CASE WHEN body IS NULL THEN {_s(lex.NO_ANSWER)} ELSE concat('### Sorgu', chr(10), '> ', query, chr(10), chr(10), '**Bulunan ', n, ' ilgili Yargıtay kararı:**', chr(10), chr(10), body,
+  {_s(lex.ANSWER_NOTE)}) END AS answer FROM benchmark LEFT JOIN cards ON item_id = qid""",
     "index_stats": f"WITH {passages()} SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM passages",
     "query_types": "SELECT coalesce(role, 'unknown') AS type, count(*) AS n FROM conversations GROUP BY 1",
     "mean_pooling": """WITH f AS (SELECT label, (i - 1)::INTEGER AS i, embedding[i]::DOUBLE AS x, CASE WHEN vec_id % 3 = 0 THEN 0e0 ELSE 1e0 END AS m FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
