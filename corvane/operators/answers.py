@@ -110,6 +110,28 @@ def cards(queries: DataFrame, results: DataFrame, texts: DataFrame, least: float
     )
 
 
+def respond(queries: DataFrame, results: DataFrame, texts: DataFrame, least: float = 0.30) -> DataFrame:
+    """One row for each query: qid, state, summary (html), and its cards in order as an array of structs, numbered from 1.
+
+    The inputs are those of ``cards``. The state is ``empty`` for a query without words, ``abstained`` for one without results or whose first result is
+    less similar than ``least``, else ``answered``; only these have a summary and cards, both of the results without near-identical openings. Of queries
+    with one qid, each has its row and the cards of all.
+    """
+    asked = queries.select("qid", T.strip(F.coalesce("query", F.lit(""))).alias("query"))
+    said = asked.filter("query <> ''")
+    weak = abstain_cosine(said.select("qid").distinct(), results, least)
+    shown = first_of_signature(results.join(weak.filter("NOT abstain").select("qid"), "qid", "left_semi"), T.near_key(F.coalesce("text", F.lit(""))), "pos")
+    made = cards(said, shown, texts, least)
+    fields = [c for c in made.columns if c not in ("qid", "pos")]
+    # a query has as many cards as it has results, so the array is short
+    listed = made.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_c"))
+    listed = listed.select("qid", F.transform("_c", lambda c, i: F.struct((i + 1).alias("place"), *[c[f].alias(f) for f in fields])).alias("cards"))
+    rows = asked.join(weak, "qid", "left").join(summary_html(result_summary(shown)).withColumnRenamed("html", "summary"), "qid", "left").join(listed, "qid", "left")
+    state = F.when(F.col("query") == "", "empty").when(F.col("abstain"), "abstained").otherwise("answered")
+    answered = lambda c: F.when(state == "answered", F.col(c)).alias(c)
+    return rows.select("qid", state.alias("state"), answered("summary"), answered("cards"))
+
+
 def markdown_answer(queries: DataFrame, results: DataFrame, most: int = 5) -> DataFrame:
     """(qid, answer): a card for each of the first ``most`` results with its snippet, or an apology without results."""
     named = lambda c, other: T.fallback(F.col(c), F.lit(other))

@@ -5,8 +5,6 @@ Queries run over whole tables. Search queries are all benchmark items, or the ve
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +59,9 @@ def _index(spark, folder):
 
     A table whose files change is indexed again, and so is one whose statistics were deleted.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    state = spark.sparkContext._jvm.java.util.Arrays.toString(files)  # names, lengths and times of all files, in one call
-    key = (spark.sparkContext.applicationId, folder, hashlib.sha256(state.encode()).hexdigest())
+    files = spark.read.format("binaryFile").load(f"{folder}/documents.parquet")  # a listing; no file's content is read
+    state = files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, folder, *state)
     if key not in _indexes or not _indexes[key].scratch.exists():
         for old in [k for k in _indexes if k[:2] == key[:2]]:  # of the files as they were
             _indexes.pop(old).scratch.drop()
@@ -512,6 +509,13 @@ def answer_cards(spark, folder):
     return answers.cards(_asked(spark, folder), _results(spark, folder), answers.full_text(_passages(spark, folder).withColumnRenamed("doc_id", "karar_id")), least=0.0)
 
 
+def respond(spark, folder):
+    """The whole answer to every benchmark item: abstention, cards and summary in a row; passages of a document give a card its whole text."""
+    texts = answers.full_text(_passages(spark, folder).withColumnRenamed("doc_id", "karar_id"))
+    made = answers.respond(_asked(spark, folder), _stored(spark, "results", _results(spark, folder)), texts, least=0.2)
+    return made.select("qid", "state", "summary", F.size("cards").alias("n_cards"), F.explode_outer("cards").alias("card")).select("qid", "state", "summary", "n_cards", "card.*")
+
+
 def markdown_answer(spark, folder):
     return answers.markdown_answer(_asked(spark, folder), _results(spark, folder))
 
@@ -683,7 +687,7 @@ QUERIES = {
         graded_relevance, metrics_qrels, metrics_mean, metrics_keyword, metrics_gold, suite_means, error_pivot, hard_neg_bm25,
         hard_neg_dense, triplets, training_pairs, training_batches, bootstrap_ci, paired_bootstrap, bootstrap_ci_numpy, paired_t, multi_seed,
         comparison_report, significance_grid, abstain_rrf, abstain_cosine, confidence, result_summary, summary_html, full_text, full_text_bucketed, hit_texts_bucketed, snippet,
-        marked_snippet, answer_cards, markdown_answer, context, prompts, citations, claims, faithfulness, safety_comparison, reranked,
+        marked_snippet, answer_cards, respond, markdown_answer, context, prompts, citations, claims, faithfulness, safety_comparison, reranked,
         index_stats, index_build, query_types, mean_pooling, masked_mean_pooling, chunk_dense_run, hybrid_grouped, near_dup_results,
         config_matrix, gold_evaluation, eyeball, beir_round_trip, index_round_trip, results_round_trip, comparison_table, winning_examples,
     )
