@@ -3,7 +3,8 @@
 Documents are dealt into blocks by a hash of their id. A row of the index is one token in one block: its documents, their parts of a score
 for one occurrence in the query, and the highest of them. The sum of a query's highest parts in a block bounds the score of every document there. A
 search scores each query's most promising blocks first; the k-th best score found is a threshold that no document of a block with a
-lower bound can reach, so those blocks' postings aren't read. All others are, so the result is that of ``lexical.search``, ties included.
+lower bound can reach, so those blocks' postings aren't scored. All others are, so the result is that of ``lexical.search``, ties included.
+Blocks are buckets' work: bounds and scores are summed where the blocks lie, and only the best of each bucket are shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from corvane.scratch import Scratch, sweep
 
 #: Scores are rounded to six places before they rank; a bound that misses the threshold by less than this stays.
 MARGIN = 2e-6
+#: Fewer pairs of a query and a block than this are broadcast: two numbers each.
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -48,18 +51,26 @@ def build(index: lexical.Bm25, docs_per_block: int = 512, vocabulary: DataFrame
     norm = F.col("tf") + index.k1 * (1 - index.b + index.b * F.col("dl") / F.lit(index.avgdl or 1.0))
     part = F.col("idf") * F.col("tf") * (index.k1 + 1) / norm
     rows = index.postings.join(idf, "tok").select("tok", F.pmod(F.xxhash64("did"), F.lit(count)).alias("blk"), F.struct("did", part.alias("part")).alias("p"))
-    # a block holds few documents, so its list is short whatever the token
-    made = rows.groupBy("tok", "blk").agg(F.collect_list("p").alias("found"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by block alone, so that all tokens of a document lie in one bucket; a block holds few documents, so lists are short whatever the token
+    made = rows.repartition(buckets, "blk").groupBy("tok", "blk").agg(F.collect_list("p").alias("found"))
     made = made.select("tok", "blk", F.size("found").cast("long").alias("n"), F.array_max(F.transform("found", lambda p: p.part)).alias("most"), "found")
-    made = scratch.table("postings", made.sortWithinPartitions("tok", "blk"))
-    return Blocks(made.select("tok", "blk", "n", "most"), made.select("tok", "blk", "found"), scratch)
+    scratch.table("mark", spark.range(0))
+    name = f"blocks_{scratch.path[-32:]}"
+    made.write.bucketBy(buckets, "blk").sortBy("tok").option("path", f"{scratch.path}/postings").saveAsTable(name)
+    table = spark.table(name)
+    return Blocks(table.select("tok", "blk", "n", "most"), table.select("tok", "blk", "found"), scratch)
 
 
-def _scored(blocks: Blocks, terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(qid, did, score) of all documents of the pairs' (qid, blk) blocks that have one of the query's tokens."""
-    wanted = pairs.join(terms, "qid").select("qid", "tok", "qf", "blk")
-    parts = blocks.postings.join(wanted, ["tok", "blk"]).select("qid", "qf", F.explode("found").alias("p"))
-    return parts.groupBy("qid", F.col("p.did").alias("did")).agg(F.round(F.sum(F.col("qf") * F.col("p.part")), 6).alias("score")).filter("score > 0")
+def _scored(blocks: Blocks, terms: DataFrame, pairs: DataFrame, small: bool) -> DataFrame:
+    """(qid, did, score) of all documents of the pairs' (qid, blk) blocks that have one of the query's tokens.
+
+    With ``small``, terms and pairs are broadcast, and scores are summed in the blocks' buckets without a shuffle.
+    """
+    hint = F.broadcast if small else lambda df: df
+    wanted = blocks.postings.join(hint(terms), "tok").join(hint(pairs), ["qid", "blk"])
+    parts = wanted.select("blk", "qid", "qf", F.explode("found").alias("p"))
+    return parts.groupBy("blk", "qid", F.col("p.did").alias("did")).agg(F.round(F.sum(F.col("qf") * F.col("p.part")), 6).alias("score")).filter("score > 0").drop("blk")
 
 
 def search(blocks: Blocks, queries: DataFrame, qid: str, text: str, k: int = 10, seeds: int = 4, tokenize=T.tokens) -> DataFrame:
@@ -79,10 +90,11 @@ def run(blocks: Blocks, queries: DataFrame, qid: str, text: str, k: int = 10, se
     bounds = heads.groupBy("qid", "blk").agg(F.sum(F.greatest(F.col("qf") * F.col("most"), F.lit(0.0))).alias("bound"), F.sum("n").alias("n"))
     order = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "blk")
     bounds = scratch.table("bounds", bounds.withColumn("place", F.row_number().over(order)))
-    first = scratch.table("first", lexical.top(_scored(blocks, terms, bounds.filter(F.col("place") <= seeds).select("qid", "blk")), k))
+    few = small and bounds.count() < FEW
+    first = scratch.table("first", lexical.top(_scored(blocks, terms, bounds.filter(F.col("place") <= seeds).select("qid", "blk"), few), k))
     least = first.groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))  # a row for each query
     rest = bounds.filter(F.col("place") > seeds).join(least, "qid", "left").withColumn("needed", F.coalesce(F.col("bound") >= F.col("least") - MARGIN, F.lit(True)))
-    more = _scored(blocks, terms, rest.filter("needed").select("qid", "blk"))
+    more = _scored(blocks, terms, rest.filter("needed").select("qid", "blk"), few)
     result = lexical.top(first.drop("rank").unionByName(lexical.top(more, k).drop("rank")), k)
     seen = bounds.filter(F.col("place") <= seeds).select("qid", "n", F.lit(True).alias("needed")).unionByName(rest.select("qid", "n", "needed"))
     read = lambda c: F.sum(F.when(F.col("needed"), c).otherwise(F.lit(0)))

@@ -369,8 +369,9 @@ FROM (SELECT length({clean_markdown('text')}) AS n FROM documents)""",
     "silver_queries": f"WITH {candidates()} SELECT qid, did, text, type FROM silver",
     "silver_stats": f"""WITH {candidates()} SELECT 'corpus' AS name, count(DISTINCT doc_id) AS n FROM documents UNION ALL SELECT 'queries', count(DISTINCT qid) FROM silver
 UNION ALL SELECT 'qrels', count(*) FROM silver UNION ALL SELECT 'type_' || type, count(*) FROM silver GROUP BY type""",
-    "bad_queries": f"""SELECT doc_id, (k - 1)::INTEGER AS n, {bad('q')} AS bad, {metadata('lower(q)')} AS metadata
-FROM (SELECT doc_id, k, array_to_string(w[1:k], ' ') AS q FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest([1, 2, 3]) AS k FROM documents))""",
+    "bad_queries": f"""SELECT id, kind, n, {bad('q')} AS bad, {metadata('lower(q)')} AS metadata FROM (
+SELECT doc_id AS id, 'words' AS kind, (k - 1)::INTEGER AS n, array_to_string(w[1:k], ' ') AS q FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest([1, 2, 3]) AS k FROM documents)
+UNION ALL SELECT doc_id, 'line', 0, string_split(text, chr(10))[1] FROM documents UNION ALL SELECT item_id, 'item', 0, text FROM benchmark)""",
     "text_norms": f"SELECT doc_id, md5({norm_keyword('t')}) AS keyword, md5({norm_graded('t')}) AS graded, md5({norm_query('t')}) AS query, array_to_string(list_filter({sents('t')}, lambda s: length(s) > 30)[1:3], ' ') AS summary FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "split_80_10_10": f"WITH {SPLIT} SELECT doc_id, split FROM split",
     "split_disjoint": f"WITH {SPLIT} SELECT count(*) AS overlaps FROM (SELECT doc_id FROM split GROUP BY doc_id HAVING count(DISTINCT split) > 1)",

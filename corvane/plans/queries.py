@@ -313,10 +313,13 @@ def silver_stats(spark, folder):
 
 
 def bad_queries(spark, folder):
-    """Which items and which first words of documents say too little to be queries."""
+    """Which items, first lines and first words of documents say too little to be queries. The id is the item's or the document's."""
     firsts = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(F.split("text", " "), 1, n), " "))
-    rows = _docs(spark, folder).select("doc_id", F.posexplode(firsts).alias("n", "q"))
-    return rows.select("doc_id", "n", benchmarking.bad_query(F.col("q")).alias("bad"), benchmarking.metadata_query(F.lower("q")).alias("metadata"))
+    docs = _docs(spark, folder)
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit("words").alias("kind"), F.posexplode(firsts).alias("n", "q"))
+    rows = rows.unionByName(docs.select(F.col("doc_id").alias("id"), F.lit("line").alias("kind"), F.lit(0).alias("n"), F.split("text", "\n")[0].alias("q")))
+    rows = rows.unionByName(table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("kind"), F.lit(0).alias("n"), F.col("text").alias("q")))
+    return rows.select("id", "kind", "n", benchmarking.bad_query(F.col("q")).alias("bad"), benchmarking.metadata_query(F.lower("q")).alias("metadata"))
 
 
 def text_norms(spark, folder):

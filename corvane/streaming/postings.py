@@ -1,25 +1,31 @@
 """BM25 statistics kept up to date from a stream of documents, replacements and deletions.
 
-Every micro-batch adds rows to three tables below a folder, in a folder of its own number, so a repeated batch replaces its own rows:
+Every micro-batch adds rows to two tables below a folder, in a folder of its own number, so a repeated batch replaces its own rows:
 
-    docs      did, n, dl          +1 and the length of a document that came, -1 and the old length of one that was replaced or deleted
-    postings  did, dl, tok, tf    the counts of its tokens, negative for a version that is gone
-    df        tok, df             how many documents more or fewer have a token
+    docs   did, n, dl, terms    n is +1 for a document that came and -1 for the version of one that is replaced or deleted; terms holds
+                                that version's tokens with their counts
+    df     tok, df              how many documents more or fewer have a token
 
 Sums over all batches are the statistics of the documents that are there now: a version and its withdrawal cancel to nothing. What a
-batch withdraws is read from the batches before it only, so running it again gives the same rows.
+batch withdraws is read from the batches before it only, so running it again gives the same rows. Tokens are counted within a
+document's row; neither texts nor postings are shuffled to add a batch, but for ids that a batch has twice and those that were there before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import lexical
 
-#: Fewer changed ids than this are broadcast when their old rows are looked up.
+#: Fewer ids than this are broadcast when their rows are looked up.
 FEW = 100_000
+_TERMS = "array<struct<tok: string, tf: long>>"
+
+
+def _docs(key: str) -> str:
+    return f"did {key}, n long, dl long, terms {_TERMS}"
 
 
 def _read(spark: SparkSession, folder: str, name: str, schema: str, before: int | None = None) -> DataFrame:
@@ -31,9 +37,31 @@ def _read(spark: SparkSession, folder: str, name: str, schema: str, before: int
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-def _types(events: DataFrame, did: str) -> dict[str, str]:
-    key = dict(events.dtypes)[did]
-    return {"docs": f"did {key}, n long, dl long", "postings": f"did {key}, dl long, tok string, tf long", "df": "tok string, df long"}
+def term_counts(tokens: Column) -> Column:
+    """The distinct tokens with their counts: sorted, a token's run ends where the next one's begins."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return T.let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("tok"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, T.let(F.array_sort(tokens), runs)).otherwise(F.array().cast(_TERMS))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() < FEW else ids
+
+
+def _last(events: DataFrame) -> DataFrame:
+    """The last event of each id by place. Only the events of ids that come twice are shuffled with their texts."""
+    twice = _few(events.groupBy("did").agg(F.count("*").alias("c")).filter("c > 1").select("did"))
+    again = events.join(twice, "did", "left_semi").groupBy("did").agg(F.max_by(F.struct("text", "gone"), F.struct("place", "gone", F.coalesce("text", F.lit("")))).alias("e"))
+    return events.join(twice, "did", "left_anti").select("did", "text", "gone").unionByName(again.select("did", "e.*"))
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    """(did, dl, terms) of the versions that are there, from rows of some ids over all batches."""
+    seen = rows.groupBy("did").agg(F.sum("n").alias("n"), F.max_by(F.struct("dl", "terms"), F.when(F.col("n") > 0, F.col("batch"))).alias("v"))
+    return seen.filter("n > 0").select("did", "v.*")
 
 
 def upsert(events: DataFrame, number: int, folder: str, did: str, text: str = "text", deleted: str | None = None, order: str | None = None, tokenize=T.tokens) -> None:
@@ -42,28 +70,18 @@ def upsert(events: DataFrame, number: int, folder: str, did: str, text: str = "t
     The last event is the one with the greatest ``order`` and then the greatest text, so repeated rows don't matter. A null text is a document without
     tokens. Events with a null id are left out, as nothing could replace them. Deleting an unknown id changes nothing.
     """
-    spark = events.sparkSession
-    types = _types(events, did)
+    spark, schema = events.sparkSession, _docs(dict(events.dtypes)[did])
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-    rank = F.struct(F.col(order) if order else F.lit(0), gone, F.coalesce(text, F.lit("")))
-    last = events.filter(F.col(did).isNotNull()).groupBy(F.col(did).alias("did")).agg(F.max_by(F.struct(F.col(text).alias("text"), gone.alias("gone")), rank).alias("e"))
-    last = last.select("did", "e.*").persist()  # read twice; an executor that is lost computes its part again
-    try:
-        ids = last.select("did")
-        few = ids.count() < FEW
-        ids = F.broadcast(ids) if few else ids
-        old = lambda name, by, sums: _read(spark, folder, name, types[name], number).join(ids, "did", "left_semi").groupBy(*by).agg(*[F.sum(s).alias(s) for s in sums])
-        old_docs = old("docs", ["did"], ["n", "dl"]).filter("n > 0").select("did", (-F.col("n")).alias("n"), (-F.col("dl")).alias("dl"))
-        old_postings = old("postings", ["did", "dl", "tok"], ["tf"]).filter("tf > 0").select("did", "dl", "tok", (-F.col("tf")).alias("tf"))
-        new = last.filter(~F.col("gone")).select("did", tokenize(F.col("text")).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
-        counts = new.select("did", "dl", F.explode("toks").alias("tok")).groupBy("did", "dl", "tok").agg(F.count("*").alias("tf"))
-        new.select("did", F.lit(1).cast("long").alias("n"), "dl").unionByName(old_docs).write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
-        counts.unionByName(old_postings).write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
-    finally:
-        last.unpersist()
-    mine = spark.read.schema(types["postings"]).parquet(f"{folder}/postings/batch={number}")
-    changes = mine.groupBy("tok").agg(F.sum(F.signum("tf")).cast("long").alias("df")).filter("df <> 0")
-    changes.write.mode("overwrite").parquet(f"{folder}/df/batch={number}")
+    place = F.col(order) if order else F.lit(0)
+    rows = events.filter(F.col(did).isNotNull()).select(F.col(did).alias("did"), F.col(text).alias("text"), gone.alias("gone"), place.alias("place"))
+    old = _read(spark, folder, "docs", schema, number)
+    known = _few(old.select("did").join(rows.select("did"), "did", "left_semi").distinct())
+    withdrawn = _live(old.join(known, "did", "left_semi")).select("did", F.lit(-1).cast("long").alias("n"), "dl", "terms")
+    new = _last(rows).filter(~F.col("gone")).select("did", tokenize(F.col("text")).alias("toks"))
+    new = new.select("did", F.lit(1).cast("long").alias("n"), F.size("toks").cast("long").alias("dl"), term_counts(F.col("toks")).alias("terms"))
+    new.unionByName(withdrawn).write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
+    mine = spark.read.schema(schema).parquet(f"{folder}/docs/batch={number}").select("n", F.explode("terms.tok").alias("tok"))
+    mine.groupBy("tok").agg(F.sum("n").alias("df")).filter("df <> 0").write.mode("overwrite").parquet(f"{folder}/df/batch={number}")
 
 
 def start(stream: DataFrame, folder: str, did: str, text: str = "text", deleted: str | None = None, order: str | None = None, first: int = 0, available_now: bool = True):
@@ -79,15 +97,16 @@ def start(stream: DataFrame, folder: str, did: str, text: str = "text", deleted:
 def index(spark: SparkSession, folder: str, key: str = "long", vocabulary: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> lexical.Bm25:
     """The BM25 statistics of all documents that are there now, for ``lexical.search``.
 
-    N, the mean length and idf are sums of the small tables. Postings are summed when they are read; with a ``vocabulary`` (tok), those of
-    other tokens are left out before they are shuffled. ``key`` is the type of the ids.
+    N, the mean length and idf are sums. A document that was never withdrawn is taken as it is; versions of the others cancel first. With a
+    ``vocabulary`` (tok), other tokens' postings are left out. ``key`` is the type of the ids.
     """
-    docs = _read(spark, folder, "docs", f"did {key}, n long, dl long").groupBy("did").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).filter("n > 0")
-    n, total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    rows = _read(spark, folder, "docs", _docs(key))
+    n, total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("dl")), F.lit(0))).first()
     df = _read(spark, folder, "df", "tok string, df long").groupBy("tok").agg(F.sum("df").alias("df")).filter("df > 0")
-    postings = _read(spark, folder, "postings", f"did {key}, dl long, tok string, tf long")
+    touched = _few(rows.filter("n < 0").select("did").distinct())
+    live = rows.join(touched, "did", "left_anti").select("did", "dl", "terms").unionByName(_live(rows.join(touched, "did", "left_semi")))
+    postings = live.select("did", "dl", F.inline("terms"))
     if vocabulary is not None:
         words = vocabulary.select("tok").distinct()
         postings = postings.join(F.broadcast(words) if lexical.size_of(words) < lexical.SMALL else words, "tok", "left_semi")
-    postings = postings.groupBy("did", "dl", "tok").agg(F.sum("tf").alias("tf")).filter("tf > 0")
-    return lexical.Bm25(docs.select("did"), postings, lexical.idf_of(df, n, epsilon), n, total / n if n else 0.0, k1, b)
+    return lexical.Bm25(live.select("did"), postings, lexical.idf_of(df, n, epsilon), n, total / n if n else 0.0, k1, b)
