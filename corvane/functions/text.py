@@ -177,6 +177,20 @@ def snippet(text: Column, terms: Column, size: int = 600, before: int = 100) ->
     return let(leftmost(text, terms), around)
 
 
+#: What ``term_counts`` makes.
+TERMS = "array<struct<tok: string, tf: long>>"
+
+
+def term_counts(tokens: Column) -> Column:
+    """The distinct tokens with their counts: sorted, a token's run ends where the next one's begins."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("tok"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs)).otherwise(F.array().cast(TERMS))
+
+
 def escape_html(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))

@@ -3,8 +3,9 @@
     score(q, d) = sum over q's tokens, as often as they occur, of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes ``epsilon`` times the mean idf of all tokens.
-``fit`` reads and tokenises the corpus once and writes postings and idf to the shared folder; searches read these and join
-the queries' tokens. Token counts are combined before the one shuffle, which carries a row for each document and token.
+``fit`` deals the documents by id, tokenises them once, and writes postings, in buckets by document, and idf to the shared folder; texts are
+shuffled once and postings not at all. Searches join the queries' tokens and sum a document's parts where its bucket lies, so only each
+bucket's best rows are shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.scratch import Scratch
+from corvane.scratch import Scratch, dealt
 
 #: Below this many bytes, the queries' vocabulary is broadcast.
 SMALL = 8 << 20
@@ -42,8 +43,9 @@ def fit(corpus: DataFrame, did: str, text: str, tokenize=T.tokens, k1: float = 1
     """
     scratch = Scratch(corpus.sparkSession, "bm25")
     docs = corpus.select(F.col(did).alias("did"))
-    toks = corpus.select(F.col(did).alias("did"), tokenize(F.col(text)).alias("toks")).select("did", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
-    postings = scratch.table("postings", toks.groupBy("did", "dl", "tok").agg(F.count("*").alias("tf")))
+    rows = dealt(corpus.select(F.col(did).alias("did"), F.col(text).alias("text")), "did").select("did", tokenize(F.col("text")).alias("toks"))
+    toks = rows.select("did", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
+    postings = scratch.bucketed("postings", toks.groupBy("did", "dl", "tok").agg(F.count("*").alias("tf")), "did")
     n, total = docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     raw = scratch.table("raw", postings.groupBy("tok").agg(F.count("*").alias("df")).withColumn("raw", raw))

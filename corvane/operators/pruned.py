@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import lexical
-from corvane.scratch import Scratch, sweep
+from corvane.scratch import Scratch, dealt, sweep
 
 #: Scores are rounded to six places before they rank; a bound that misses the threshold by less than this stays.
 MARGIN = 2e-6
@@ -51,14 +51,10 @@ def build(index: lexical.Bm25, docs_per_block: int = 512, vocabulary: DataFrame
     norm = F.col("tf") + index.k1 * (1 - index.b + index.b * F.col("dl") / F.lit(index.avgdl or 1.0))
     part = F.col("idf") * F.col("tf") * (index.k1 + 1) / norm
     rows = index.postings.join(idf, "tok").select("tok", F.pmod(F.xxhash64("did"), F.lit(count)).alias("blk"), F.struct("did", part.alias("part")).alias("p"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # dealt by block alone, so that all tokens of a document lie in one bucket; a block holds few documents, so lists are short whatever the token
-    made = rows.repartition(buckets, "blk").groupBy("tok", "blk").agg(F.collect_list("p").alias("found"))
+    made = dealt(rows, "blk").groupBy("tok", "blk").agg(F.collect_list("p").alias("found"))
     made = made.select("tok", "blk", F.size("found").cast("long").alias("n"), F.array_max(F.transform("found", lambda p: p.part)).alias("most"), "found")
-    scratch.table("mark", spark.range(0))
-    name = f"blocks_{scratch.path[-32:]}"
-    made.write.bucketBy(buckets, "blk").sortBy("tok").option("path", f"{scratch.path}/postings").saveAsTable(name)
-    table = spark.table(name)
+    table = scratch.bucketed("postings", made, "blk")
     return Blocks(table.select("tok", "blk", "n", "most"), table.select("tok", "blk", "found"), scratch)
 
 

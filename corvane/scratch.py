@@ -39,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
         self.marked = False
+        self.entries: dict[str, str] = {}
         _live.append(self)
 
     def _file_system(self, path: str):
@@ -67,11 +68,26 @@ class Scratch:
             conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """Like ``table``, in buckets by ``key`` (as many as shuffles have partitions): grouping by it, also with more columns, needs no shuffle.
+
+        ``df`` comes from ``dealt`` rows, so that each bucket is one task's file. Buckets are known to the session's catalogue only, so the table has an
+        entry there until it is dropped.
+        """
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        entry = f"{name}_{self.path[-32:]}"
+        self.table(f"{name}-mark", self.spark.range(0))  # the folder goes with the driver
+        df.write.bucketBy(buckets, key).option("path", f"{self.path}/{name}").saveAsTable(entry)
+        self.entries[name] = entry
+        return self.spark.table(entry)
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more; without names, the whole folder."""
         for name in names or ("",):
             fs, place = self._file_system(f"{self.path}/{name}".rstrip("/"))
             fs.delete(place, True)
+        for name in [n for n in self.entries if not names or n in names]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.entries.pop(name)}")
         if not names and self in _live:
             _live.remove(self)
 
@@ -79,6 +95,11 @@ class Scratch:
         return self in _live
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` as ``Scratch.bucketed`` has its buckets."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans now: it does so when the driver's JVM collects what refers to them."""
     spark.sparkContext._jvm.System.gc()

@@ -13,7 +13,7 @@ document's row; neither texts nor postings are shuffled to add a batch, but for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -21,11 +21,10 @@ from corvane.operators import lexical
 
 #: Fewer ids than this are broadcast when their rows are looked up.
 FEW = 100_000
-_TERMS = "array<struct<tok: string, tf: long>>"
 
 
 def _docs(key: str) -> str:
-    return f"did {key}, n long, dl long, terms {_TERMS}"
+    return f"did {key}, n long, dl long, terms {T.TERMS}"
 
 
 def _read(spark: SparkSession, folder: str, name: str, schema: str, before: int | None = None) -> DataFrame:
@@ -37,16 +36,6 @@ def _read(spark: SparkSession, folder: str, name: str, schema: str, before: int
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-def term_counts(tokens: Column) -> Column:
-    """The distinct tokens with their counts: sorted, a token's run ends where the next one's begins."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return T.let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("tok"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("tf"))))
-
-    return F.when(F.size(tokens) > 0, T.let(F.array_sort(tokens), runs)).otherwise(F.array().cast(_TERMS))
-
-
 def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() < FEW else ids
 
@@ -78,7 +67,7 @@ def upsert(events: DataFrame, number: int, folder: str, did: str, text: str = "t
     known = _few(old.select("did").join(rows.select("did"), "did", "left_semi").distinct())
     withdrawn = _live(old.join(known, "did", "left_semi")).select("did", F.lit(-1).cast("long").alias("n"), "dl", "terms")
     new = _last(rows).filter(~F.col("gone")).select("did", tokenize(F.col("text")).alias("toks"))
-    new = new.select("did", F.lit(1).cast("long").alias("n"), F.size("toks").cast("long").alias("dl"), term_counts(F.col("toks")).alias("terms"))
+    new = new.select("did", F.lit(1).cast("long").alias("n"), F.size("toks").cast("long").alias("dl"), T.term_counts(F.col("toks")).alias("terms"))
     new.unionByName(withdrawn).write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
     mine = spark.read.schema(schema).parquet(f"{folder}/docs/batch={number}").select("n", F.explode("terms.tok").alias("tok"))
     mine.groupBy("tok").agg(F.sum("n").alias("df")).filter("df <> 0").write.mode("overwrite").parquet(f"{folder}/df/batch={number}")
