@@ -11,17 +11,30 @@ from pyspark.sql.types import StructType
 from corvane.functions import text as T
 
 
+def normed_groups(groups: Column, norm) -> Column:
+    """Groups with their terms normalised, for the functions that take normalised texts."""
+    return F.transform(groups, lambda g: F.transform(g, norm))
+
+
+def keyword_complete(groups: Column, doc: Column) -> Column:
+    """Whether the text has all terms of any group; both are normalised already."""
+    return F.exists(groups, lambda g: F.forall(g, lambda t: F.contains(doc, t)))
+
+
+def grade(groups: Column, doc: Column) -> Column:
+    """2 if the first group is complete, 1 if another is, else 0; both are normalised already."""
+    first = F.array_position(F.transform(groups, lambda g: F.forall(g, lambda t: F.contains(doc, t))), F.lit(True))
+    return T.let(first, lambda at: F.when(at == 1, 2).when(at > 1, 1).otherwise(0))
+
+
 def keyword_relevant(groups: Column, text: Column) -> Column:
-    """Whether the text has all terms of any group, both normalised."""
-    doc = T.norm_keyword(text)
-    return F.exists(groups, lambda g: F.forall(g, lambda t: F.contains(doc, T.norm_keyword(t))))
+    """Whether the text has all terms of any group, both normalised, the text once."""
+    return T.let(T.norm_keyword(text), lambda doc: keyword_complete(normed_groups(groups, T.norm_keyword), doc))
 
 
 def graded_relevance(groups: Column, text: Column) -> Column:
-    """2 if the first group is complete, 1 if another is, else 0."""
-    doc = T.norm_graded(text)
-    at = F.array_position(F.transform(groups, lambda g: F.forall(g, lambda t: F.contains(doc, T.norm_graded(t)))), F.lit(True))
-    return F.when(at == 1, 2).when(at > 1, 1).otherwise(0)
+    """2 if the first group is complete, 1 if another is, else 0; both are normalised, the text once."""
+    return T.let(T.norm_graded(text), lambda doc: grade(normed_groups(groups, T.norm_graded), doc))
 
 
 def containing(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
