@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import chunking
 from corvane.functions import lexicon as lex
 from corvane.functions import text as T
+from corvane.scratch import Scratch
 
 _SPACE = r"(?U)\s+"
 
@@ -25,29 +26,35 @@ def metadata_query(q: Column) -> Column:
 
 
 def _normed(words) -> Column:
-    return F.transform(T.words_literal(words), T.norm_query)
+    """The normalised words, each by itself, so that Spark makes a constant of them."""
+    return F.array(*[T.norm_query(F.lit(w)) for w in words])
 
 
 def bad_query(q: Column, stop=lex.STOP_QUERIES, generic=lex.GENERIC_QUERIES) -> Column:
     """Whether a query says too little: a stop phrase, broken letters, numbers only, one word, or generic words only."""
-    n = T.norm_query(q)
-    words = F.filter(F.split(n, _SPACE), lambda w: w != "")
-    return (
-        F.array_contains(_normed(stop), n)
-        | broken_spacing(n)
-        | metadata_query(n)
-        | F.regexp_like(n, F.lit(r"(?U)^(madde|md|m)\.?\s*\d+$"))
-        | (F.size(words) < 2)
-        | F.array_contains(_normed(generic), n)
-        | (F.size(F.array_except(words, _normed(generic))) == 0)
-    )
+
+    def judge(n: Column) -> Column:
+        words = F.filter(F.split(n, _SPACE), lambda w: w != "")
+        return (
+            F.array_contains(_normed(stop), n)
+            | broken_spacing(n)
+            | metadata_query(n)
+            | F.regexp_like(n, F.lit(r"(?U)^(madde|md|m)\.?\s*\d+$"))
+            | (F.size(words) < 2)
+            | F.array_contains(_normed(generic), n)
+            | (F.size(F.array_except(words, _normed(generic))) == 0)
+        )
+
+    return T.let(T.norm_query(q), judge)
 
 
 def first_by_key(items: Column, key) -> Column:
-    """Items in order, without those whose key has come before."""
-    paired = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
-    keys = F.transform(paired, lambda p: p.k)
-    return F.transform(F.filter(paired, lambda p, i: F.array_position(keys, p.k) == i + 1), lambda p: p.x)
+    """Items in order, without those whose key has come before. Items and keys are computed once, not once an item."""
+
+    def firsts(both: Column) -> Column:
+        return F.filter(both.xs, lambda x, i: F.array_position(both.ks, F.get(both.ks, i)) == i + 1)
+
+    return T.let(items, lambda xs: T.let(F.struct(xs.alias("xs"), F.transform(xs, key).alias("ks")), firsts))
 
 
 def candidate_queries(text: Column, statutes: Column, heading: str = lex.SILVER_HEADING, subject: str = lex.SUBJECT, size: int = 120) -> Column:
@@ -80,6 +87,7 @@ def shuffled(key: Column, seed: int) -> Column:
 def silver(decisions: DataFrame, most: int = 2, seed: int = 42, markers=lex.CONTENT_MARKERS, heading: str = lex.SILVER_HEADING, subject: str = lex.SUBJECT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(corpus, queries, qrels) of decisions (karar_id, text, title, kanunlar, kurul, esas_no, karar_no, tarih, ord).
 
+    The picked queries are short and lie in a scratch table, as texts are searched for them once, however often queries and qrels are read.
     Of decisions with one id, the corpus has the last by ord; queries of theirs with one name are the last one's.
     At most ``most`` candidates a decision, picked by their hash with the seed.
     """
@@ -90,6 +98,7 @@ def silver(decisions: DataFrame, most: int = 2, seed: int = 42, markers=lex.CONT
     cand = F.transform(candidate_queries(F.col("text"), F.col("kanunlar"), heading, subject), lambda x: F.struct(shuffled(F.concat(F.col("did"), F.lit("|"), x.text), seed).alias("k"), x.text.alias("text"), x.type.alias("type")))
     picked = named.select("did", "karar_id", "ord", F.posexplode(F.slice(F.array_sort(cand), 1, most)).alias("j", "x"))
     picked = picked.select("did", "ord", F.concat(F.lit("q"), F.col("karar_id").cast("string"), F.lit("_"), F.col("j")).alias("qid"), "x.text", "x.type")
+    picked = Scratch(decisions.sparkSession, "silver").table("picked", picked)
     queries = picked.groupBy("qid").agg(F.max_by(F.struct("text", "type"), "ord").alias("r")).select("qid", "r.*")
     return corpus, queries, picked.select("qid", "did", F.lit(1).alias("rel"))
 

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from corvane.functions import text as T
-from corvane.operators import relevance
+from corvane.operators import benchmarking, relevance
 from corvane.plans import queries
 
 TEXTS = ["The token, and LICENSED under", None, "", "que\n pas; Velayet", "2004 SAYILI icra", "Nafaka boşanma-tazminat"]
@@ -30,3 +30,14 @@ def test_text_normalised_once(spark, tmp_path, name, norm, loop):
                 seen = want.get((qid, r.lang))
                 want[qid, r.lang] = seen if r.x is None else (seen or 0) + int(r.x)
     assert {(r[0], r[1]): r[2] for r in found.collect()} == want and any(want.values())
+
+
+def test_silver_searches_texts_once(spark):
+    """Queries and judgments come from a table that is written once, and a text's candidates are made once, not once for each of them."""
+    docs = spark.createDataFrame([(i, i, t, "", [], "k") for i, t in enumerate(["The plain cat\nSome Heading Here.\nOther Heading Here.\n", "", "La casa verde\nsome heading here.\n"])], "karar_id long, ord long, text string, title string, kanunlar array<string>, kurul string")
+    docs = docs.selectExpr("*", "'' AS esas_no", "'' AS karar_no", "'' AS tarih")
+    _, asked, qrels = benchmarking.silver(docs, most=5, heading=queries.HEADING, subject=queries.SUBJECT)
+    assert all("regexp_extract" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (asked, qrels))
+    assert sorted((r.qid[:2], r.text) for r in asked.collect()) == [("q0", "plain cat"), ("q0", "some heading here"), ("q2", "casa verde")]
+    made = docs.select(benchmarking.candidate_queries(docs.text, docs.kanunlar, queries.HEADING, queries.SUBJECT).alias("c"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
