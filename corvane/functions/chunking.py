@@ -55,4 +55,5 @@ def chunk_records(df: DataFrame, text_col: str = "text", most: int = 1200, overl
     """A row for each passage: the other columns, chunk_idx, n_chunks and the passage as text. Texts without passages go."""
     made = df.withColumn("_chunks", chunks(F.col(text_col), most, overlap)).withColumn("n_chunks", F.size("_chunks"))
     rest = [c for c in df.columns if c != text_col]
-    return made.select(*rest, "n_chunks", F.posexplode("_chunks").alias("chunk_idx", text_col))
+    # the outer form, as of the plain one Spark infers a filter on the passages, and so cuts every text twice
+    return made.select(*rest, "n_chunks", F.posexplode_outer("_chunks").alias("chunk_idx", text_col)).filter("chunk_idx IS NOT NULL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon as lex
 
-WORD = r"[\p{L}\p{N}_]+"
+WORD = r"[\p{L}\p{N}_]{3,}"
 
 
 def words_literal(words) -> Column:
@@ -31,8 +31,8 @@ def fallback(*columns: Column) -> Column:
 
 def tokens(text: Column, stop=lex.STOP_WORDS) -> Column:
     """Words of at least three characters outside the stop list, lower-cased and with the dotless i as i."""
-    found = F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), "ı", "i"), F.lit(WORD), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    found = F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ı"), F.lit("i")), F.lit(WORD), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*stop))
 
 
 def clean_html(html: Column) -> Column:
@@ -188,7 +188,7 @@ def term_counts(tokens: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("tok"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("tf"))))
 
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs)).otherwise(F.array().cast(TERMS))
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(F.array().cast(TERMS))
 
 
 def escape_html(text: Column) -> Column:

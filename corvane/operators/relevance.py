@@ -37,31 +37,39 @@ def graded_relevance(groups: Column, text: Column) -> Column:
     return T.let(T.norm_graded(text), lambda doc: grade(normed_groups(groups, T.norm_graded), doc))
 
 
+#: Up to so many items, and bytes of them, anchors are broadcast; with more they are shuffled.
+ITEMS, BYTES = 100_000, 64 << 20
+
+
 def containing(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
     """(qid, did) of all documents (did, text) that contain an item (qid, text) verbatim.
 
     An item's words between its first and its last one are whole words of any text that contains it. The first ``words`` of these
-    are its anchor; anchors meet the documents' windows of as many words by hash, and the pairs that meet are held against the texts. Items
-    of one or two words have no such words and are held against every document. Null texts contain nothing and null items nothing.
+    are its anchor; anchors meet the documents' windows of as many words by hash, and the pairs that meet are held against the texts, where they
+    meet if the items are few, so that texts aren't joined again. Items of one or two words have no such words and are held against every
+    document. Null texts contain nothing and null items nothing.
     """
     cut = lambda c: F.split(c, r"[ \t\n\r\f]+")
-    window = lambda w, i, k: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
+    window = lambda i, k: F.xxhash64(*[F.get("_w", i + j) for j in range(k)])
     asked = items.select("qid", F.col("text").alias("_item")).filter("_item IS NOT NULL").withColumn("_w", cut(F.col("_item")))
     asked = asked.withColumn("_k", F.greatest(F.lit(0), F.least(F.lit(words), F.size("_w") - 2)))
-    sizes = {r._k: r.n for r in asked.groupBy("_k").agg(F.count("*").alias("n")).collect()}  # at most words + 1 rows
-    small = sum(sizes.values()) <= 100_000  # some megabytes of anchors
-    anchors = asked.filter("_k > 0").select("qid", "_k", window(F.col("_w"), 2, F.col("_k")).alias("_h"))
+    sizes = asked.groupBy("_k").agg(F.count("*").alias("n"), F.sum(F.octet_length("_item")).alias("b")).collect()  # at most words + 1 rows
+    small = sum(r.n for r in sizes) <= ITEMS and sum(r.b for r in sizes) <= BYTES
     text = docs.select("did", "text").withColumn("_w", cut(F.col("text")))
     found = []
-    if lengths := [k for k in sizes if k]:
-        places = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1))), lambda i: F.struct(F.lit(k).alias("_k"), window(F.col("_w"), i, F.lit(k)).alias("_h"))))
-        windows = None
-        for k in lengths:
-            here = text.select("did", F.inline(places(k)))
-            windows = here if windows is None else windows.unionByName(here)
-        met = windows.join(F.broadcast(anchors) if small else anchors, ["_k", "_h"]).select("qid", "did").distinct()
-        found.append(met.join(asked.select("qid", "_item"), "qid").join(docs.select("did", "text"), "did").filter(F.contains("text", F.col("_item"))).select("qid", "did"))
-    if 0 in sizes:
+    for k in sorted(r._k for r in sizes if r._k):
+        place = F.when(F.size("_w") >= k, F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0))))
+        anchors = asked.filter(F.col("_k") == k).select("qid", "_item", window(F.lit(1), k).alias("_h"))
+        if small:  # numbers of rows keep repeated ids apart; an item may lie in a text more than once
+            rows = text.withColumn("_d", F.monotonically_increasing_id()).select("did", "text", "_w", "_d", F.explode(place).alias("_i")).select("did", "text", "_d", window(F.col("_i"), k).alias("_h"))
+            met = rows.join(F.broadcast(anchors.withColumn("_a", F.monotonically_increasing_id())), "_h").filter(F.contains("text", F.col("_item")))
+            found.append(met.select("qid", "did", "_d", "_a").distinct().select("qid", "did"))
+        else:
+            rows = text.select("did", "_w", F.explode(place).alias("_i")).select("did", window(F.col("_i"), k).alias("_h"))
+            met = rows.join(anchors.select("qid", "_h"), "_h").select("qid", "did").distinct()
+            met = met.join(asked.filter(F.col("_k") == k).select("qid", "_item"), "qid").join(docs.select("did", "text"), "did")
+            found.append(met.filter(F.contains("text", F.col("_item"))).select("qid", "did"))
+    if any(r._k == 0 for r in sizes):
         found.append(docs.select("did", "text").join(asked.filter("_k = 0").select("qid", "_item"), F.contains("text", F.col("_item"))).select("qid", "did"))
     out = docs.sparkSession.createDataFrame([], StructType([asked.schema["qid"], docs.schema["did"]]))
     return reduce(DataFrame.unionByName, found) if found else out

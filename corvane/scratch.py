@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _local: dict[str, str] = {}
 _live: list[Scratch] = []
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,7 +78,12 @@ class Scratch:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         entry = f"{name}_{self.path[-32:]}"
         self.table(f"{name}-mark", self.spark.range(0))  # the folder goes with the driver
-        df.write.bucketBy(buckets, key).option("path", f"{self.path}/{name}").saveAsTable(entry)
+        conf, before = self.spark.conf, self.spark.conf.get(_WRITERS, None)
+        conf.set(_WRITERS, "4")  # a task has one bucket's rows; without open writers Spark would sort them by their bucket first
+        try:
+            df.write.bucketBy(buckets, key).option("path", f"{self.path}/{name}").saveAsTable(entry)
+        finally:
+            conf.unset(_WRITERS) if before is None else conf.set(_WRITERS, before)
         self.entries[name] = entry
         return self.spark.table(entry)
 

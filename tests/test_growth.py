@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from corvane.functions import chunking
 from corvane.functions import text as T
-from corvane.operators import benchmarking, relevance
+from corvane.operators import benchmarking, lexical, relevance
 from corvane.plans import queries
 
 TEXTS = ["The token, and LICENSED under", None, "", "que\n pas; Velayet", "2004 SAYILI icra", "Nafaka boşanma-tazminat"]
@@ -38,6 +40,33 @@ def test_silver_searches_texts_once(spark):
     docs = docs.selectExpr("*", "'' AS esas_no", "'' AS karar_no", "'' AS tarih")
     _, asked, qrels = benchmarking.silver(docs, most=5, heading=queries.HEADING, subject=queries.SUBJECT)
     assert all("regexp_extract" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (asked, qrels))
-    assert sorted((r.qid[:2], r.text) for r in asked.collect()) == [("q0", "plain cat"), ("q0", "some heading here"), ("q2", "casa verde")]
+    assert sorted((r.qid[:2], r.text) for r in asked.collect()) == [("q0", "plain cat"), ("q0", "some heading here"), ("q2", "casa verde"), ("q2", "some heading here")]
     made = docs.select(benchmarking.candidate_queries(docs.text, docs.kanunlar, queries.HEADING, queries.SUBJECT).alias("c"))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_containment_reads_texts_once(spark, tmp_path, monkeypatch):
+    """Every pair of rows, repeated ids too, found where the texts are read; the same rows when the anchors are too many to broadcast."""
+    texts = ["a bb cc dd ee ff gg a bb cc dd ee ff gg", "x bb cc dd ee ff y", None, "bb", "a bb cc dd", "zz bb  cc dd"]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate([*texts, texts[0]])], "did long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    items = [(1, "a bb cc dd ee ff gg"), (2, "bb cc dd"), (2, "cc"), (3, "b cc dd ee ff y"), (4, None), (5, "a bb cc dd")]
+    asked = spark.createDataFrame(items, "qid long, text string")
+    want = sorted((q, d.did) for q, x in items for d in docs.collect() if x and d.text and x in d.text and len(x.split()) > 2)
+    long = asked.filter("text IS NULL OR size(split(text, ' ')) > 2")
+    found = relevance.containing(docs, long)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > len(set(want))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == len({min(5, len(x.split()) - 2) for _, x in items if x and len(x.split()) > 2})
+    monkeypatch.setattr(relevance, "ITEMS", 0)
+    assert set(map(tuple, relevance.containing(docs, asked).collect())) == {(q, d.did) for q, x in items for d in docs.collect() if x and d.text and x in d.text}
+
+
+def test_texts_cut_once(spark, tmp_path):
+    """No filter on the passages, or on the tokens, is put before the rows are dealt."""
+    spark.createDataFrame([(1, "a b. " * 300), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    made = chunking.chunk_records(docs)
+    assert made.count() == 2 and "Filter (size(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    index = lexical.fit(docs, "doc_id", "text", lambda t: F.split(t, " "))
+    assert index.n == 2 and index.postings.filter("tok IS NULL").count() == 0
