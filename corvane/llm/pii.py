@@ -33,7 +33,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+_TOKEN = re.compile(r"(\s*+)([^\W\d_]++|[0-9]++|[^\s])")
 
 
 def luhn(digits: str) -> bool:
@@ -188,7 +188,6 @@ def labelled_table(copies: int = 8, seed: int = 11) -> list[tuple[str, list[tupl
 LEXICON = frozenset("at dot com org net phone tel telephone call mobile fax email mail contact card visa number ip host server address version pages isbn invoice id chapter section token".split())
 
 
-@functools.lru_cache(maxsize=200_000)
 def shape(token: str, spaced: bool) -> str:
     """Word shape: digits by count, punctuation by itself, words by case and length; a leading blank marks white space before."""
     if token[0].isdigit() and token[0] <= "9":
@@ -202,12 +201,30 @@ def shape(token: str, spaced: bool) -> str:
     return " " * spaced + s
 
 
+class _Shapes(dict):
+    """Shapes of the tokens met, with or without white space before; begun anew when there are too many."""
+
+    def __init__(self, spaced: bool):
+        self.spaced = spaced
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= 200_000:
+            self.clear()
+        self[token] = found = shape(token, self.spaced)
+        return found
+
+
+_SPACED, _CLOSE = _Shapes(True), _Shapes(False)
+
+
 def tokens_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, shape) of tokens."""
-    out, end = [], -1
-    for m in _TOKEN.finditer(text):
-        out.append((m.start(), m.end(), shape(m[0], m.start() != end)))
-        end = m.end()
+    """(start, end, shape) of tokens. The first one counts as having white space before it."""
+    out, end, first = [], 0, True
+    for gap, token in _TOKEN.findall(text.rstrip()):  # white space at the end would be tried from each of its places
+        start = end + len(gap)
+        end = start + len(token)
+        out.append((start, end, (_SPACED if gap or first else _CLOSE)[token]))
+        first = False
     return out
 
 

@@ -66,3 +66,20 @@ def test_kept_columns_of_any_name(spark):
     got = pii.find_pii(df, keep=("_text", "_id")).collect()
     assert [(r.doc_id, r.n_email, r._text, r._id) for r in sorted(got, key=lambda r: r.doc_id or 0)] == [(None, 0, None, None), (1, 1, "x", "y")]
     assert pii.find_pii(df.withColumnRenamed("n_phone", "spans"), keep=("spans",)).count() == 2
+
+
+def test_tokens_of_odd_texts():
+    """Places and shapes as single matches give them; long white space, at the end too, stays linear."""
+    import re
+    import time
+
+    for text in ("", " ", "a", "  Ab12 _x@y.z　\x1c7٠ \U0001d7d9é\n", "x  " * 50, "\n a-b"):
+        want, end = [], -1
+        for m in re.finditer(r"[^\W\d_]+|[0-9]+|[^\s]", text):
+            want.append((m.start(), m.end(), pii.shape(m[0], m.start() != end)))
+            end = m.end()
+        assert pii.tokens_of(text) == want
+    began = time.process_time()
+    assert len(pii.tokens_of("a" + " " * 300_000 + "b" + " " * 300_000)) == 2
+    assert time.process_time() - began < 5
+    assert not hasattr(pii.shape, "cache_info")  # one look-up by the token, not a call with two arguments
