@@ -3,12 +3,12 @@
 Every micro-batch adds rows to two tables below a folder, in a folder of its own number, so a repeated batch replaces its own rows:
 
     docs   did, n, dl, terms    n is +1 for a document that came and -1 for the version of one that is replaced or deleted; terms holds
-                                that version's tokens with their counts
+                                that version's tokens with their counts. Rows without n hold parts of the batch's frequencies
     df     tok, df              how many documents more or fewer have a token
 
 Sums over all batches are the statistics of the documents that are there now: a version and its withdrawal cancel to nothing. What a
 batch withdraws is read from the batches before it only, so running it again gives the same rows. Tokens are counted within a
-document's row; neither texts nor postings are shuffled to add a batch, but for ids that a batch has twice and those that were there before.
+document's row, over Arrow batches; neither texts nor postings are shuffled to add a batch, but for ids that a batch has twice and those that were there before.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from corvane.operators import lexical
 
 #: Fewer ids than this are broadcast when their rows are looked up.
 FEW = 100_000
+#: Up to so many words, other tokens' postings are left out where they are read.
+WORDS = 10_000
 
 
 def _docs(key: str) -> str:
@@ -63,14 +65,16 @@ def upsert(events: DataFrame, number: int, folder: str, did: str, text: str = "t
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
     place = F.col(order) if order else F.lit(0)
     rows = events.filter(F.col(did).isNotNull()).select(F.col(did).alias("did"), F.col(text).alias("text"), gone.alias("gone"), place.alias("place"))
-    old = _read(spark, folder, "docs", schema, number)
+    old = _read(spark, folder, "docs", schema, number).filter("n IS NOT NULL")
     known = _few(old.select("did").join(rows.select("did"), "did", "left_semi").distinct())
     withdrawn = _live(old.join(known, "did", "left_semi")).select("did", F.lit(-1).cast("long").alias("n"), "dl", "terms")
     new = _last(rows).filter(~F.col("gone")).select("did", tokenize(F.col("text")).alias("toks"))
-    new = new.select("did", F.lit(1).cast("long").alias("n"), F.size("toks").cast("long").alias("dl"), T.term_counts(F.col("toks")).alias("terms"))
-    new.unionByName(withdrawn).write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
-    mine = spark.read.schema(schema).parquet(f"{folder}/docs/batch={number}").select("n", F.explode("terms.tok").alias("tok"))
-    mine.groupBy("tok").agg(F.sum("n").alias("df")).filter("df <> 0").write.mode("overwrite").parquet(f"{folder}/df/batch={number}")
+    new = lexical.counted(new).withColumn("n", F.when(F.col("dl").isNotNull(), F.lit(1).cast("long"))).withColumn("dl", F.col("dl").cast("long"))
+    new.unionByName(withdrawn, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
+    mine = spark.read.schema(f"{schema}, tok string, df long").parquet(f"{folder}/docs/batch={number}")
+    gone = mine.filter("n < 0").select(F.explode("terms.tok").alias("tok"), F.lit(-1).cast("long").alias("df"))
+    parts = mine.filter("tok IS NOT NULL").select("tok", "df").unionByName(gone)
+    parts.groupBy("tok").agg(F.sum("df").alias("df")).filter("df <> 0").write.mode("overwrite").parquet(f"{folder}/df/batch={number}")
 
 
 def start(stream: DataFrame, folder: str, did: str, text: str = "text", deleted: str | None = None, order: str | None = None, first: int = 0, available_now: bool = True):
@@ -89,13 +93,14 @@ def index(spark: SparkSession, folder: str, key: str = "long", vocabulary: DataF
     N, the mean length and idf are sums. A document that was never withdrawn is taken as it is; versions of the others cancel first. With a
     ``vocabulary`` (tok), other tokens' postings are left out. ``key`` is the type of the ids.
     """
-    rows = _read(spark, folder, "docs", _docs(key))
+    rows = _read(spark, folder, "docs", _docs(key)).filter("n IS NOT NULL")
     n, total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("dl")), F.lit(0))).first()
     df = _read(spark, folder, "df", "tok string, df long").groupBy("tok").agg(F.sum("df").alias("df")).filter("df > 0")
     touched = _few(rows.filter("n < 0").select("did").distinct())
     live = rows.join(touched, "did", "left_anti").select("did", "dl", "terms").unionByName(_live(rows.join(touched, "did", "left_semi")))
-    postings = live.select("did", "dl", F.inline("terms"))
     if vocabulary is not None:
         words = vocabulary.select("tok").distinct()
-        postings = postings.join(F.broadcast(words) if lexical.size_of(words) < lexical.SMALL else words, "tok", "left_semi")
-    return lexical.Bm25(live.select("did"), postings, lexical.idf_of(df, n, epsilon), n, total / n if n else 0.0, k1, b)
+        few = [r.tok for r in words.limit(WORDS + 1).collect()]
+        if len(few) <= WORDS:  # with more, searches pass over the others
+            live = live.withColumn("terms", F.filter("terms", lambda t: t.tok.isin(few)))
+    return lexical.Bm25(live.select("did"), live, lexical.idf_of(df, n, epsilon), n, total / n if n else 0.0, k1, b)

@@ -64,3 +64,15 @@ def test_nothing_yet(spark, queries, tmp_path):
     assert empty.n == 0 and found(empty, queries) == []
     postings.upsert(spark.createDataFrame([], "doc long, text string"), 0, str(tmp_path / "one"), "doc")
     assert postings.index(spark, str(tmp_path / "one")).n == 0
+
+
+def test_frequencies_are_counted_with_the_terms(spark, queries, tmp_path):
+    """A batch's frequencies come in parts with its documents' rows, and rows of a vocabulary hold its words only."""
+    folder = str(tmp_path)
+    postings.upsert(spark.createDataFrame([(1, "kira kira tapu"), (2, "kira"), (3, None)], "doc long, text string"), 0, folder, "doc")
+    postings.upsert(spark.createDataFrame([(1, "tapu haciz")], "doc long, text string"), 1, folder, "doc")
+    parts = spark.read.parquet(f"{folder}/docs/batch=0").filter("tok IS NOT NULL").groupBy("tok").sum("df").collect()
+    assert {(r[0], r[1]) for r in parts} == {("kira", 2), ("tapu", 1)}
+    index = postings.index(spark, folder, vocabulary=lexical.query_terms(queries, "qid", "text"))
+    assert {(r.tok, r.df) for r in index.idf.collect()} == {("kira", 1), ("tapu", 1), ("haciz", 1)} and index.n == 3
+    assert sorted((r.did, r.tok, r.tf) for r in index.postings.collect()) == [(1, "haciz", 1), (2, "kira", 1)]
