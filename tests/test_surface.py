@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -35,6 +36,15 @@ def loads(folder, name):
     return len(found), len(set(found))
 
 
+def test_pages_parsed_a_few_at_a_time(spark):
+    """A worker hands texts on a few pages at a time, however large its batches, and each page gets its own text."""
+    pages = [None if i % 7 == 0 else f"<p>page {i}<br>x</p>" for i in range(3 * markup.HELD + 5)]
+    made = list(markup.texts_of(iter([pa.array(pages, pa.string()), pa.array([], pa.string())])))
+    assert max(map(len, made)) <= markup.HELD and pa.chunked_array(made).to_pylist() == [markup.text_of(h) for h in pages]
+    got = spark.createDataFrame(list(enumerate(pages)), "i long, h string").coalesce(1).select("i", markup.parsed_html(F.col("h")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: markup.text_of(h).strip() for i, h in enumerate(pages)}
+
+
 def test_models_load_once_in_a_process(spark, tmp_path):
     """Generation, the safety comparison, the index and reranking run with Python models; each process calls a loader once for all its tasks."""
     asked = spark.createDataFrame([(i, f"kira soru {i}") for i in range(40)], "qid long, query string").repartition(8)
