@@ -18,37 +18,40 @@ def _texts() -> Column:
 
 def pack_sentences(paragraph: Column, most: int) -> Column:
     """Sentences joined by blanks up to ``most`` characters; a longer sentence stays whole."""
-    start = F.struct(_texts().alias("parts"), F.lit("").alias("open"))
+    start = F.struct(_texts().alias("parts"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def step(a: Column, s: Column) -> Column:
-        fits = F.length(a.open) + F.length(s) + 1 <= most
+        fits = a.n + F.length(s) + 1 <= most
         return (
-            F.when(a.open == "", F.struct(a.parts.alias("parts"), s.alias("open")))
-            .when(fits, F.struct(a.parts.alias("parts"), F.concat(a.open, F.lit(" "), s).alias("open")))
-            .otherwise(F.struct(F.array_append(a.parts, a.open).alias("parts"), s.alias("open")))
+            F.when(a.n == 0, F.struct(a.parts.alias("parts"), s.alias("open"), F.length(s).alias("n")))
+            .when(fits, F.struct(a.parts.alias("parts"), F.concat(a.open, F.lit(" "), s).alias("open"), (a.n + F.length(s) + 1).alias("n")))
+            .otherwise(F.struct(F.array_append(a.parts, a.open).alias("parts"), s.alias("open"), F.length(s).alias("n")))
         )
 
-    return F.aggregate(sentences(paragraph), start, step, lambda a: F.when(a.open == "", a.parts).otherwise(F.array_append(a.parts, a.open)))
+    return F.aggregate(sentences(paragraph), start, step, lambda a: F.when(a.n == 0, a.parts).otherwise(F.array_append(a.parts, a.open)))
 
 
 def chunks(text: Column, most: int = 1200, overlap: int = 150, least: int = 200) -> Column:
-    """Passages of a text. One shorter than ``least`` is dropped; ``overlap`` characters of a closed one open the next."""
+    """Passages of a text. One shorter than ``least`` is dropped; ``overlap`` characters of a closed one open the next.
+
+    The folds carry the open passage's length ``n``, as counting characters reads them all.
+    """
     text = F.coalesce(text, F.lit(""))
     pieces = F.flatten(F.transform(paragraphs(text), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(pack_sentences(p, most))))
-    start = F.struct(_texts().alias("done"), F.lit("").alias("open"))
-    closed = lambda a: F.when(F.length(a.open) >= least, F.array_append(a.done, a.open)).otherwise(a.done)
+    start = F.struct(_texts().alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    closed = lambda a: F.when(a.n >= least, F.array_append(a.done, a.open)).otherwise(a.done)
 
     def step(a: Column, p: Column) -> Column:
-        fits = F.length(a.open) + F.length(p) + 2 <= most
-        carry = (F.length(a.open) > overlap) & F.lit(overlap > 0)
+        fits = a.n + F.length(p) + 2 <= most
+        carry = (a.n > overlap) & F.lit(overlap > 0)
         opened = F.when(carry, strip(F.concat(F.right(a.open, F.lit(overlap)), F.lit("\n\n"), p))).otherwise(p)
         return (
-            F.when(a.open == "", F.struct(a.done.alias("done"), p.alias("open")))
-            .when(fits, F.struct(a.done.alias("done"), F.concat(a.open, F.lit("\n\n"), p).alias("open")))
-            .otherwise(F.struct(closed(a).alias("done"), opened.alias("open")))
+            F.when(a.n == 0, F.struct(a.done.alias("done"), p.alias("open"), F.length(p).alias("n")))
+            .when(fits, F.struct(a.done.alias("done"), F.concat(a.open, F.lit("\n\n"), p).alias("open"), (a.n + F.length(p) + 2).alias("n")))
+            .otherwise(F.struct(closed(a).alias("done"), opened.alias("open"), F.length(opened).alias("n")))
         )
 
-    return F.aggregate(pieces, start, step, lambda a: F.when(a.open != "", closed(a)).otherwise(a.done))
+    return F.aggregate(pieces, start, step, lambda a: F.when(a.n > 0, closed(a)).otherwise(a.done))
 
 
 def chunk_records(df: DataFrame, text_col: str = "text", most: int = 1200, overlap: int = 150) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import lexicon as lex
 
 WORD = r"[\p{L}\p{N}_]{3,}"
+#: The characters of Unicode's property White_Space, which ``\s`` has with the flag U.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def words_literal(words) -> Column:
@@ -16,7 +18,7 @@ def words_literal(words) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space (of any kind) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))  # looks at the ends only; a regular expression would look at every character
 
 
 def squeeze(text: Column) -> Column:

@@ -106,6 +106,12 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows as they lie if there are as many splits as cores; a small table in few splits is dealt, so that all cores have work."""
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= df.sparkSession.sparkContext.defaultParallelism else dealt(df, key)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans now: it does so when the driver's JVM collects what refers to them."""
     spark.sparkContext._jvm.System.gc()

@@ -10,6 +10,7 @@ from corvane.functions import chunking
 from corvane.functions import text as T
 from corvane.operators import benchmarking, lexical, relevance
 from corvane.plans import queries
+from corvane.scratch import spread
 
 TEXTS = ["The token, and LICENSED under", None, "", "que\n pas; Velayet", "2004 SAYILI icra", "Nafaka boşanma-tazminat"]
 
@@ -98,3 +99,31 @@ def test_texts_found_are_not_shuffled(spark):
     """Results go to the documents, and statutes are looked for in what was found, not in every text."""
     plan = queries._results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan and plan.index("regexp_extract_all") < plan.index("Join Inner")
+
+
+def test_ends_stripped_without_reading_the_middle(spark):
+    """Every kind of white space goes at the ends, as a regular expression would have it, which is not used."""
+    texts = [f"{chr(i)}a {chr(i)} b{chr(i)}\n{chr(i)}" for i in range(1, 0x3100)] + ["", " \n", None, "\r\n a\r\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip(F.col("t")).alias("got"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want"))
+    assert rows.filter("NOT got <=> want").count() == 0
+    assert "regexp" not in rows.select("got")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_an_index_are_not_shuffled(spark, tmp_path):
+    """Passages are cut, tokenised and counted where documents are read; only a table in few splits is dealt to all cores."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('wort', id % 7, ' und ', repeat('kira tapu. ', 30)) AS text")
+    docs.repartition(8).write.parquet(f"{tmp_path}/many")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    many, one = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("many", "one"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan(spread(many, "doc_id")) and "Repartition" in plan(spread(one, "doc_id"))
+    a, b = lexical.fit(many, "doc_id", "text"), lexical.fit(one, "doc_id", "text")
+    assert (a.n, a.avgdl) == (b.n, b.avgdl) and sorted(a.idf.collect()) == sorted(b.idf.collect())
+    assert sorted(a.postings.collect()) == sorted(b.postings.collect())
+
+
+def test_passages_are_not_stored_for_their_index(spark, monkeypatch):
+    """dedupe_best_chunk cuts passages on their way into the index, once; no table of their texts is written."""
+    made = []
+    monkeypatch.setattr(queries, "_stored", lambda spark, name, df: made.append(name) or df)
+    assert queries.dedupe_best_chunk(spark, "/root/testdata/sf0.001").count() and "passages" not in made
