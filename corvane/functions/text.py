@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import lexicon as lex
 
-WORD = r"[\p{L}\p{N}_]{3,}"
+LETTER = r"[\p{L}\p{N}_]"
+WORD = LETTER + "{3,}"
 #: The characters of Unicode's property White_Space, which ``\s`` has with the flag U.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -31,9 +32,14 @@ def fallback(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+def lowered(text: Column) -> Column:
+    """Lower-cased and with the dotless i as i; empty for null."""
+    return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ı"), F.lit("i"))
+
+
 def tokens(text: Column, stop=lex.STOP_WORDS) -> Column:
     """Words of at least three characters outside the stop list, lower-cased and with the dotless i as i."""
-    found = F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ı"), F.lit("i")), F.lit(WORD), F.lit(0))
+    found = F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(*stop))
 
 

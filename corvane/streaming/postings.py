@@ -68,7 +68,7 @@ def upsert(events: DataFrame, number: int, folder: str, did: str, text: str = "t
     old = _read(spark, folder, "docs", schema, number).filter("n IS NOT NULL")
     known = _few(old.select("did").join(rows.select("did"), "did", "left_semi").distinct())
     withdrawn = _live(old.join(known, "did", "left_semi")).select("did", F.lit(-1).cast("long").alias("n"), "dl", "terms")
-    new = _last(rows).filter(~F.col("gone")).select("did", tokenize(F.col("text")).alias("toks"))
+    new = lexical.to_count(_last(rows).filter(~F.col("gone")).select("did", "text"), tokenize)
     new = lexical.counted(new).withColumn("n", F.when(F.col("dl").isNotNull(), F.lit(1).cast("long"))).withColumn("dl", F.col("dl").cast("long"))
     new.unionByName(withdrawn, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
     mine = spark.read.schema(f"{schema}, tok string, df long").parquet(f"{folder}/docs/batch={number}")
